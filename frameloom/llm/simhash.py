@@ -120,7 +120,8 @@ def simhash_components(docs: DataFrame, id: str = "doc_id", text: str = "text",
     joined = distinct.join(parts, distinct.fp == parts.node, "inner").select("fp", "least", "component")
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     better = joined.join(named, "component").select("fp", "component_id")
-    names = distinct.join(better, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Written, so that the join below is a plain one, which Spark splits where a fingerprint has very many rows.
+    names = materialise(distinct.join(better, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "names")
     return prints.join(names, "fp").select(id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
