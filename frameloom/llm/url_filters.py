@@ -24,7 +24,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 TRAIN = {
     "block": (
         "casino casinos poker slots slot roulette blackjack jackpot bet bets betting gamble gambling wager bingo lottery lotto win winner wins free spins bonus odds",
-        "adult porn sex xxx x nude naked cam cams escort escorts erotic hot milf fetish hentai dating hookup",
+        "adult porn sex xxx nude naked cam cams escort escorts erotic hot milf fetish hentai dating hookup",
         "pills pill cheap viagra cialis pharmacy pharma drugs meds rx tramadol steroids weight loss diet",
         "spam farm link links seo backlinks clicks click bait traffic exchange bulk mail scam fraud fake replica replicas rolex",
         "ads ad adserver advert adverts banner banners popup popups track tracker trackers tracking pixel affiliate doubleclick analytics beacon counter sponsor promo",
@@ -39,8 +39,11 @@ TRAIN = {
         "shop store market product products service services company office work job jobs team house home car cars energy water green",
     ),
 }
-#: Chances of the classes before any word, the weight of a word never seen, and the chance of an unknown word of one letter.
-PRIOR, SMOOTHING, UNKNOWN = {"block": 0.3, "allow": 0.7}, 0.5, 1e-4
+#: Words that only help to split names; they speak for neither class.
+NEUTRAL = "my your our the best top new all get online official site web world town land life live plus pro hub zone club center central united national international american express house street first super mega real easy smart".split()
+#: Chances of the classes before any word, the count added to every word's, and an unknown word's chance: its first letter's, and
+#: the logarithm by which it falls with each further letter.
+PRIOR, SMOOTHING, UNKNOWN, PER_LETTER = {"block": 0.3, "allow": 0.7}, 0.5, 1e-6, 1.2
 MAX_WORD = 24
 _LETTERS = re.compile(r"[a-z]+")
 
@@ -51,8 +54,9 @@ class UrlModel:
     def __init__(self, train: dict[str, tuple[str, ...]] | None = None):
         words = {label: [w for line in lines for w in line.split()] for label, lines in (train or TRAIN).items()}
         every = Counter(w for ws in words.values() for w in ws)
-        total = sum(every.values())
-        self.chance = {w: math.log(c / total) for w, c in every.items()}
+        whole = every + Counter(NEUTRAL)
+        total = sum(whole.values())
+        self.chance = {w: math.log(c / total) for w, c in whole.items()}
         self.prior = math.log(PRIOR["block"] / PRIOR["allow"])
         counts = {label: Counter(ws) for label, ws in words.items()}
         size = {label: len(ws) + SMOOTHING * len(every) for label, ws in words.items()}
@@ -60,7 +64,7 @@ class UrlModel:
         self.known: dict[str, list[str]] = {}
 
     def segment(self, run: str) -> list[str]:
-        """The likeliest words of a run of letters; an unknown word's chance falls by ten with each letter."""
+        """The likeliest words of a run of letters; an unknown word's chance falls with each letter."""
         if run in self.chance:
             return [run]
         if (words := self.known.get(run)) is not None:
@@ -69,7 +73,7 @@ class UrlModel:
         for end in range(1, len(run) + 1):
             for start in range(max(0, end - MAX_WORD), end):
                 word = run[start:end]
-                score = best[start] + self.chance.get(word, math.log(UNKNOWN) - (len(word) - 1) * math.log(10) * 0.9)
+                score = best[start] + self.chance.get(word, math.log(UNKNOWN) - (len(word) - 1) * PER_LETTER)
                 if score > best[end]:
                     best[end], back[end] = score, start
         words, end = [], len(run)
