@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.stats import charbonnier, tail
 from ..operators import align, evaluate, fusion, pixels, series, windows
 from ..sources.frames import event_series, pixel_frames, table
+from . import evaluate as evaluation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,3 +354,15 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = c.groupBy("model").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", F.round("subscore", 2).alias("s"))))).alias("scores"))
     overall = fusion.overall_scores(c, ["model"])
     return parts.join(overall, "model").select("model", F.to_json(F.struct(F.round("overall", 2).alias("overall"), "scores"), {"ignoreNullFields": "false"}).alias("report"))
+
+
+@query
+def scan_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frame scan (sharpness, mean, perceptual hash and their steps) of the generated test sequences."""
+    return rounded(evaluation.scan(evaluation.candidates(spark)), 4)
+
+
+@query
+def evaluate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated test sequences with true, blended, frozen and blurred mid frames, evaluated and ranked."""
+    return rounded(evaluation.evaluate(evaluation.candidates(spark)), 4)

@@ -44,7 +44,10 @@ class _PatternReader(DataSourceReader):
     def read(self, partition: _Segment):
         import numpy as np
 
-        texture = np.random.default_rng(self.seed).integers(40, 200, (self.size, 4 * self.size)).astype(np.float64)
+        texture = np.random.default_rng(self.seed).integers(0, 256, (self.size, 4 * self.size)).astype(np.float64)
+        for axis in (0, 1, 0, 1):
+            texture = (np.roll(texture, 1, axis) + texture + np.roll(texture, -1, axis)) / 3
+        texture = np.clip((texture - texture.mean()) * 3 + 128, 0, 255)
         for i in range(partition.begin, partition.end):
             shift = i * self.speed / 2
             whole = int(shift)
