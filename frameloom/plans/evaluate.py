@@ -11,11 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import fusion, kernels, series, windows
+from ..operators import fusion, kernels, regions, series, windows
 from ..sources.frames import PatternSource
 
-#: Windows of the presets, (uniform, by risk).
+#: Windows of the presets, (uniform, by risk), and those that measure regions too.
 PRESETS = {"fast": (8, 8), "standard": (16, 32), "audit": (24, 48)}
+WITH_REGIONS = ("standard", "audit")
 DEFECTS = ("good", "ghost", "freeze", "blur")
 
 
@@ -46,7 +47,7 @@ def choose_windows(scanned: DataFrame, preset: str = "fast", gap: float = 0.25)
     return windows.union_windows(windows.uniform_centres(s, uniform), windows.temporal_nms(odd, by_risk, gap))
 
 
-def window_features(frames: DataFrame, centres: DataFrame) -> DataFrame:
+def window_features(frames: DataFrame, centres: DataFrame, with_regions: bool = False) -> DataFrame:
     """``model, window, feature, value``: the kernels' features of each window, long; NaN as null.
 
     The windows' frames are joined before they are gathered, five rows to a group."""
@@ -57,6 +58,8 @@ def window_features(frames: DataFrame, centres: DataFrame) -> DataFrame:
         five = five.sort_by("k")
         images = [image(luma, h, w) for luma, h, w in zip(*(five[c].to_pylist() for c in ("luma", "h", "w")), strict=True)]
         found = kernels.window_features(images) if len(images) == 5 else {}
+        if found and with_regions:
+            found |= regions.region_features(images)
         n = len(found)
         return pa.table({"model": pa.array(five["model"].to_pylist()[:1] * n, pa.string()), "window": pa.array(five["window"].to_pylist()[:1] * n, pa.int64()), "feature": pa.array(list(found), pa.string()), "value": pa.array(list(map(float, found.values())), pa.float64())})
 
@@ -66,7 +69,7 @@ def window_features(frames: DataFrame, centres: DataFrame) -> DataFrame:
 
 def evaluate(frames: DataFrame, preset: str = "fast") -> DataFrame:
     """``model, overall, relative, rank`` of each candidate."""
-    features = window_features(frames, choose_windows(scan(frames), preset))
+    features = window_features(frames, choose_windows(scan(frames), preset), preset in WITH_REGIONS)
     errors = fusion.normalise(features, fusion.feature_dim(frames.sparkSession))
     categories = fusion.aggregate_categories(fusion.category_errors(errors, ["model"]), ["model"])
     return fusion.rank_models(fusion.overall_scores(categories, ["model"]), "model")
