@@ -19,6 +19,8 @@ from .common import materialise, row_key, small
 WINDOW = 10
 #: Rows up to which a table made from the benchmark is broadcast; beyond it, it is joined by shuffles.
 BROADCAST_ROWS = 400_000
+#: Words of all test items together up to which the items are broadcast.
+BROADCAST_WORDS = 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,7 +56,9 @@ def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int) -> DataFr
     postings = with_words.select("id_", "key_", F.posexplode("w").alias("pos", "term"))
     found = postings.join(hinted, "term").select("id_", "key_", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "starts")
     found = found.groupBy("id_", "key_", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
-    test = small(materialise(items.select("item_id", F.col("w").alias("iw")), "test-words"), BROADCAST_ROWS // 16)[0]
+    test = materialise(items.select("item_id", F.col("w").alias("iw")), "test-words")
+    if (test.agg(F.sum(F.size("iw"))).first()[0] or 0) <= BROADCAST_WORDS:
+        test = F.broadcast(test)
     found = found.join(test, "item_id").groupBy("id_", "key_").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw")).alias("places"))
     w = F.col("w")
 

@@ -188,8 +188,7 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
         shared = spark.sparkContext.broadcast(cut)
         plain = plain.withColumn("cut", F.lit(None).cast("array<long>"))
     else:
-        rest = F.element_at(F.split("u", "://", 2), 2)
-        host = F.coalesce(F.lower(F.element_at(F.split(rest, "[/?#]", 2), 1)), F.lit(""))
+        host = F.coalesce(F.lower(F.get(F.split(F.get(F.split("u", "://", 2), F.lit(1)), "[/?#]", 2), F.lit(0))), F.lit(""))
         plain = plain.withColumn("host", host).join(low.groupBy("host").agg(F.collect_set("node").alias("cut")), "host", "left").select("i", "u", "h", "cut")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

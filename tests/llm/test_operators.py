@@ -132,7 +132,7 @@ def test_main_text(html, text):
 
 def test_style_tree_cuts_what_all_pages_share(spark):
     pages = [(i, "http://h.example/%d" % i, f"<body><div class=x>Same words here</div><div class=y>Text {i} of its own</div></body>") for i in range(12)]
-    pages += [(90, None, "<p>alone"), (91, "http://o.example", None), (None, "http://h.example/0", pages[0][2]), (0, pages[0][1], pages[0][2])]
+    pages += [(90, None, "<p>alone"), (91, "http://o.example", None), (92, "no scheme", None), (None, "http://h.example/0", pages[0][2]), (0, pages[0][1], pages[0][2])]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, cut string")
     for limit in (html_extract.BROADCAST_NODES, -1):
         html_extract.BROADCAST_NODES, before = limit, html_extract.BROADCAST_NODES
