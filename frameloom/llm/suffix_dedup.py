@@ -22,11 +22,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, row_key
+from .common import materialise, row_key, small
 
 MIN_WORDS, SPREAD, GRAM = 50, 24, 8
-#: Repeated suffix fingerprints (8 bytes each) up to which they are sent to all executors; beyond it they are joined.
-BROADCAST_SUFFIXES = 2_000_000
+#: Repeated suffix fingerprints (8 bytes each), and repeated windows (three longs each), up to which they are sent to all
+#: executors; beyond it they are joined.
+BROADCAST_SUFFIXES, BROADCAST_WINDOWS = 2_000_000, 500_000
 #: Characters whose words are worked on at once, and words whose hashes a worker keeps.
 BLOCK, KNOWN_WORDS = 1 << 20, 200_000
 _BASE = 0x9E3779B97F4A7C15
@@ -161,7 +162,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(block.local[which].astype(np.int32)), pa.array(block.prints(which).view(np.int64))], columns)
 
     if repeated.count() <= broadcast_suffixes:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(repeated.toPandas()["suffix"].to_numpy().astype(np.int64)))
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow()["suffix"].to_numpy().astype(np.int64)))
 
         def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, values = _Hashes(), shared.value
@@ -201,9 +202,11 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
 
         found = with_held.mapInArrow(extend_joined, _windows_schema(kind))
     found = materialise(found, "windows")
-    row = F.struct("id_", "key_")
-    twice = found.groupBy("print").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.count("*").alias("copies")).where("NOT (a <=> b)").select("print", F.col("a.id_").alias("first_id"), "copies")
-    hits = found.join(twice, "print").groupBy("id_", "key_").agg(F.sort_array(F.collect_set(F.struct("start", "first_id", "copies"))).alias("w"))
+    row = F.xxhash64("id_", "key_")
+    rows = found.groupBy("print").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min("id_").alias("first_id"), F.count("*").alias("copies"))
+    # Written, so that the join is a broadcast of a checked size or a plain one, which Spark splits at very common windows.
+    twice = materialise(rows.where("a <> b").select("print", "first_id", "copies"), "repeated-windows")
+    hits = found.join(small(twice, BROADCAST_WINDOWS)[0], "print").groupBy("id_", "key_").agg(F.sort_array(F.collect_set(F.struct("start", "first_id", "copies"))).alias("w"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
