@@ -47,8 +47,8 @@ def _anchors(items: DataFrame, size: int, docs_words: DataFrame) -> DataFrame:
     return rarest.groupBy("item_id", F.col("r.term").alias("term"), F.col("r.ipos").alias("ipos")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
-def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int) -> DataFrame:
-    """``docs`` (``id_, key_, text_``) with ``n_words`` and ``hits``: structs of item_id, at (first word) and n (words)."""
+def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int, how: str = "left") -> DataFrame:
+    """``docs`` (``id_, key_, text_``; with ``how`` "inner" only those that a rarest term is in) with ``n_words`` and ``hits``: structs of item_id, at (first word) and n (words)."""
     with_words = docs.select("id_", "key_", words(F.col("text_")).alias("w"))
     items = items.where(F.size("w") > 0)
     anchors = materialise(_anchors(items, size, with_words), "anchors")
@@ -60,9 +60,8 @@ def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int) -> DataFr
     if (test.agg(F.sum(F.size("iw"))).first()[0] or 0) <= BROADCAST_WORDS:
         test = F.broadcast(test)
     found = found.join(test, "item_id").groupBy("id_", "key_").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw")).alias("places"))
-    w = F.col("w")
 
-    def at(place: Column) -> Column:
+    def at(w: Column, place: Column) -> Column:
         def one(start: Column) -> Column:
             wanted = F.slice(place["iw"], start + 1, size)
             begin = place["shift"] + start
@@ -78,10 +77,11 @@ def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int) -> DataFr
         return F.filter(F.transform(place["starts"], one), lambda x: x.isNotNull())
 
     texts = docs.withColumnRenamed("id_", "d_").withColumnRenamed("key_", "k_")
-    joined = texts.join(found, F.col("d_").eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("key_")), "left")
+    joined = texts.join(found, F.col("d_").eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("key_")), how)
     joined = joined.select("d_", "places", words(F.col("text_")).alias("w"))
-    # n_words and hits both use w, which keeps Spark from splitting the text again for every place.
-    return joined.select(F.col("d_").alias("id_"), F.size("w").alias("n_words"), F.when(F.col("places").isNotNull(), F.flatten(F.transform("places", at))).alias("hits"))
+    # The words are bound to a lambda's variable, else Spark may split the text again for every place.
+    hits = F.transform(F.array(F.struct("w", "places")), lambda z: F.flatten(F.transform(z["places"], lambda p: at(z["w"], p))))[0]
+    return joined.select(F.col("d_").alias("id_"), F.size("w").alias("n_words"), F.when(F.col("places").isNotNull(), hits).alias("hits"))
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -106,7 +106,7 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id",
     """``id, item_id, at, n``: stretches of a document, ``slack`` words wider on either side than a window aligned by its rarest
     word, that hold all the window's words in any order. Rows without an id or matches give none."""
     plain = docs.select(F.col(id).alias("id_"), row_key(F.col(text)).alias("key_"), F.col(text).cast("string").alias("text_"))
-    found = _matches(plain, _items(benchmark, item, item_text), size, slack)
+    found = _matches(plain, _items(benchmark, item, item_text), size, slack, "inner")
     return found.where("hits is not null").select(F.col("id_").alias(id), F.explode("hits").alias("h")).select(id, "h.item_id", "h.at", "h.n").distinct()
 
 
@@ -120,5 +120,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id",
 
 def _hit_keys(plain: DataFrame, items: DataFrame, size: int) -> DataFrame:
     with_key = plain.withColumn("id_", F.struct("id_", "key_"))
-    found = _matches(with_key, items, size, 0).where(F.size("hits") > 0)
+    found = _matches(with_key, items, size, 0, "inner").where(F.size("hits") > 0)
     return materialise(found.select("id_.id_", "id_.key_").distinct(), "contaminated")
