@@ -7,7 +7,8 @@ by term, which gives offset-adjusted places; the window's other words are then i
 Windows with a term that the corpus lacks end at the counts.
 
 Null and empty texts have no words and no matches; texts are read whole; rows of one id and text get equal results, rows of one
-id and different texts their own; equal item ids are one item; an empty table gives no matches; other columns are not looked at.
+id and different texts their own; test rows of one item id (null too) and different texts are looked up each by itself and named as
+one item, a null id isn't named; an empty table gives no matches; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -33,33 +34,34 @@ def words(text: Column) -> Column:
 
 
 def _anchors(items: DataFrame, size: int, docs_words: DataFrame) -> DataFrame:
-    """``term, item_id, ipos, starts``: the windows of an item that are looked up by its word ``ipos``."""
+    """``term, item_id, tkey, ipos, starts``: the windows of an item's text that are looked up by its word ``ipos``."""
     terms = materialise(items.select(F.explode("w").alias("term")).distinct(), "test-terms")
     hinted, _ = small(terms, BROADCAST_ROWS)
     counts = docs_words.select(F.explode("w").alias("term")).join(hinted, "term").groupBy("term").agg(F.count("*").alias("n"))
     counts = materialise(counts, "test-term-counts")
-    placed = items.select("item_id", "w", F.posexplode("w").alias("ipos", "term")).join(small(counts, BROADCAST_ROWS)[0], "term", "left")
+    placed = items.select("item_id", "tkey", "w", F.posexplode("w").alias("ipos", "term")).join(small(counts, BROADCAST_ROWS)[0], "term", "left")
     # Each word with the windows it is part of; the rarest word (then the first) of a window stands for it.
     n = F.size("w")
     first, last = F.greatest(F.lit(0), F.col("ipos") - (size - 1)), F.least(F.col("ipos"), F.greatest(F.lit(0), n - size))
-    windows = placed.select("item_id", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(first, last)).alias("start"))
-    rarest = windows.groupBy("item_id", "start").agg(F.min(F.struct("n", "ipos", "term")).alias("r")).where("r.n > 0")
-    return rarest.groupBy("item_id", F.col("r.term").alias("term"), F.col("r.ipos").alias("ipos")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    windows = placed.select("item_id", "tkey", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(first, last)).alias("start"))
+    rarest = windows.groupBy("item_id", "tkey", "start").agg(F.min(F.struct("n", "ipos", "term")).alias("r")).where("r.n > 0")
+    return rarest.groupBy("item_id", "tkey", F.col("r.term").alias("term"), F.col("r.ipos").alias("ipos")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
 
 
 def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int, how: str = "left") -> DataFrame:
     """``docs`` (``id_, key_, text_``; with ``how`` "inner" only those that a rarest term is in) with ``n_words`` and ``hits``: structs of item_id, at (first word) and n (words)."""
     with_words = docs.select("id_", "key_", words(F.col("text_")).alias("w"))
-    items = items.where(F.size("w") > 0)
+    items = items.where(F.size("w") > 0).dropDuplicates(["item_id", "tkey"])
     anchors = materialise(_anchors(items, size, with_words), "anchors")
     hinted, _ = small(anchors, BROADCAST_ROWS)
     postings = with_words.select("id_", "key_", F.posexplode("w").alias("pos", "term"))
-    found = postings.join(hinted, "term").select("id_", "key_", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "starts")
-    found = found.groupBy("id_", "key_", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
-    test = materialise(items.select("item_id", F.col("w").alias("iw")), "test-words")
+    found = postings.join(hinted, "term").select("id_", "key_", "item_id", "tkey", (F.col("pos") - F.col("ipos")).alias("shift"), "starts")
+    found = found.groupBy("id_", "key_", "item_id", "tkey", "shift").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
+    test = materialise(items.select(F.col("item_id").alias("i_"), F.col("tkey").alias("t_"), F.col("w").alias("iw")), "test-words")
     if (test.agg(F.sum(F.size("iw"))).first()[0] or 0) <= BROADCAST_WORDS:
         test = F.broadcast(test)
-    found = found.join(test, "item_id").groupBy("id_", "key_").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw")).alias("places"))
+    same = F.col("item_id").eqNullSafe(F.col("i_")) & (F.col("tkey") == F.col("t_"))
+    found = found.join(test, same).groupBy("id_", "key_").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw")).alias("places"))
 
     def at(w: Column, place: Column) -> Column:
         def one(start: Column) -> Column:
@@ -81,11 +83,14 @@ def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int, how: str
     joined = joined.select("d_", "places", words(F.col("text_")).alias("w"))
     # The words are bound to a lambda's variable, else Spark may split the text again for every place.
     hits = F.transform(F.array(F.struct("w", "places")), lambda z: F.flatten(F.transform(z["places"], lambda p: at(z["w"], p))))[0]
+    hits = F.array_distinct(hits)  # texts of one item may share a window
     return joined.select(F.col("d_").alias("id_"), F.size("w").alias("n_words"), F.when(F.col("places").isNotNull(), hits).alias("hits"))
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    return benchmark.select(F.col(item).alias("item_id"), words(F.col(text).cast("string")).alias("w"))
+    """``item_id, tkey, w``; ``tkey`` tells texts of one item id apart."""
+    found = benchmark.select(F.col(item).alias("item_id"), words(F.col(text).cast("string")).alias("w"))
+    return found.withColumn("tkey", F.xxhash64("w"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -97,7 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", tex
     hits = F.coalesce("hits", F.array().cast(found.schema["hits"].dataType))
     found = found.select("id_", "n_words", hits.alias("hits"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["n"] - 1)))))
-    names = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"].cast("string"))))
+    names = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda h: h["item_id"].cast("string")))))
     found = found.withColumn("n_hit", hit.cast("long")).withColumn("names", names)
     return found.select(F.col("id_").alias(id), F.col("n_words").cast("long").alias("n_words"), "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "hits")
 
