@@ -3,8 +3,9 @@
 The pages of a host are merged into one tree of style nodes (the path of block elements with their classes). A node's content
 importance is one minus the mean entropy of its features (block texts) over the host's pages (Yi, Liu and Li, 2003): what stands
 on every page has importance 0, what differs from page to page 1. Its presentation importance is 0 for elements, roles and
-class names that stand for menus, adverts, forms and the like. Branches of low importance are cut from every page, and what is
-left of the article (or of the body, where no article is marked) is the text.
+class names that stand for menus, adverts, forms and the like. Nodes of low importance are cut from every page, in the article
+too, and what is left of the article (or of the body, where no article is marked) is the text. An article of which nothing would
+be left stays whole. Equal pages of a host count once, so copies of a page don't make its text a site's.
 
 A null html is an empty page with an empty text, and a null url a page of the host ""; whole pages are read, cut-off ones as far
 as they go; repeated rows each get their row; an empty table gives an empty result; other columns are not looked at.
@@ -146,29 +147,32 @@ class Pages:
         return out
 
     def main_text(self, html: str | None, cut: frozenset[int] | set[int] = frozenset()) -> str:
-        found = [b for b in self.blocks(html) if not b[1] and (b[0] not in cut)]
-        inside = [b for b in found if b[2]]
+        found = [b for b in self.blocks(html) if not b[1]]
+        left = [b for b in found if b[0] not in cut]
+        inside = [b for b in left if b[2]] or [b for b in found if b[2]]
+        found = left
         return "\n".join(b[4] for b in inside or found)
 
 
 def style_nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, node, pages, importance``: the content importance of the merged tree's nodes that hold text outside articles."""
+    """``host, node, pages, importance``: the content importance of the merged tree's nodes that hold text, in articles too."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Pages()
         for batch in batches:
-            hosts, nodes, values = [], [], []
+            hosts, nodes, values, texts = [], [], [], []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen = {(b[0], xxhash.xxh64_intdigest(b[4]) >> 1) for b in reader.blocks(h) if not b[1] and not b[2]}
+                seen = {(b[0], xxhash.xxh64_intdigest(b[4]) >> 1) for b in reader.blocks(h) if not b[1]}
                 for node in {n for n, _ in seen}:
                     seen.add((node, -1))
                 host = host_of(u)
                 hosts += [host] * len(seen)
                 nodes += [n for n, _ in seen]
                 values += [v for _, v in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(values, pa.int64())], ["host", "node", "feature"])
+                texts += [xxhash.xxh64_intdigest(h or "") - (1 << 63)] * len(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(values, pa.int64()), pa.array(texts, pa.int64())], ["host", "node", "feature", "page"])
 
-    rows = pages.select(F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h")).mapInArrow(features, "host string, node long, feature long")
+    rows = pages.select(F.col(url).cast("string").alias("u"), F.col(html).cast("string").alias("h")).mapInArrow(features, "host string, node long, feature long, page long").distinct()
     counts = rows.groupBy("host", "node", "feature").agg(F.count("*").alias("c"))
     whole = F.col("feature") == -1
     nodes = counts.groupBy("host", "node").agg(F.max(F.when(whole, F.col("c"))).alias("pages"), F.count(F.when(~whole, 1)).alias("l"), F.sum(F.when(~whole, F.log("c"))).alias("s"))

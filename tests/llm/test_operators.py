@@ -148,6 +148,13 @@ def test_style_tree_cuts_what_all_pages_share(spark):
     assert html_extract.main_texts(df.limit(0)).count() == 0
 
 
+def test_style_tree_cuts_inside_the_article(spark):
+    page = "<body><article><p>Text %d of its own</p><div class=z1>Tell us what you think</div></article></body>"
+    pages = [(i, f"http://h.example/{i}", page % i) for i in range(10)] + [(50 + i, f"http://copies.example/{i}", page % 1) for i in range(10)]
+    found = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Text {i} of its own" for i in range(10)} | {50 + i: "Text 1 of its own\nTell us what you think" for i in range(10)}
+
+
 # line dedup
 
 
