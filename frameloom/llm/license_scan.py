@@ -1,12 +1,14 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison, in DataFrame functions only.
 
-Paragraphs are lines. A multinomial logistic regression over sparse word n-grams (one and two words, lower case) names a licence
+Paragraphs are lines, and runs of several lines that aren't blank, joined by spaces (notices are wrapped). A multinomial logistic regression over sparse word n-grams (one and two words, lower case) names a licence
 family or "unknown"; it is trained on the driver from the templates below, cut and thinned variants of them, and counter
 examples, and its temperature is calibrated on variants it was not trained on. The weights of its features (bounded by the
 templates' n-grams) are broadcast, joined to the paragraphs' n-grams and summed. A prediction is confirmed if the family has a
 template of whose word pairs the paragraph holds ``MIN_SIMILARITY`` or more.
 
-A paragraph without any cue word (``CUES``) is unknown by definition and isn't scored. Null and empty texts have no findings;
+A joined paragraph is a finding, at its first line, if it is confirmed and none of its lines is confirmed for the family; where a
+text has no blank lines it is the whole text. Paragraphs without any of the model's trigger words aren't scored: the weights of all features that hold
+none of them together cannot beat unknown, so the model would name none of these. Null and empty texts have no findings;
 texts are read whole; equal probabilities go to the family named first; repeated lines are findings each, rows of one id and text
 count once; an empty table gives an empty result; other columns are not looked at.
 """
@@ -18,10 +20,12 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialise, row_key
+from .common import materialise, row_key, small
 
 MIN_SIMILARITY = 0.8
-#: Words of which a licence notice has one at least.
+#: Texts with findings up to which their places are broadcast.
+BROADCAST_ROWS = 400_000
+#: Common words of licence notices.
 CUES = "license licensed licence licenced licensing licensee licensor sublicense copyright copyrighted rights reserved warranty warranties redistribution redistribute permission gpl lgpl agpl gnu apache bsd mozilla mpl cc0 commons public proprietary confidential spdx unlicense isc".split()
 #: Licence families and notices that are usual for them.
 TEMPLATES = {
@@ -158,6 +162,26 @@ class LicenceModel:
         z = np.exp((z - z.max(axis=1, keepdims=True)) / temperature)
         return z / z.sum(axis=1, keepdims=True)
 
+    def triggers(self) -> list[str]:
+        """Words of which a text holds one at least if the model names a family for it.
+
+        The others are chosen by rising weight, as long as all features made of them together stay below unknown."""
+        margins = np.maximum(self.weights[:, :-1] - self.weights[:, -1:], 0)
+        total = self.bias[:-1] - self.bias[-1]
+        of_word: dict[str, set[int]] = {}
+        for g, i in self.features.items():
+            for w in g.split():
+                of_word.setdefault(w, set()).add(i)
+        parts = {i: set(g.split()) for g, i in self.features.items()}
+        weight = {w: max((float(margins[i].max()) for i in found if parts[i] == {w}), default=0.0) for w, found in of_word.items()}
+        quiet: set[str] = set()
+        for w in sorted(of_word, key=lambda w: (weight[w], w)):
+            more = total + sum(margins[i] for i in of_word[w] if parts[i] <= quiet | {w})
+            if more.max() < -1e-3:
+                quiet.add(w)
+                total = more
+        return sorted(set(of_word) - quiet)
+
     def predict(self, text: str) -> tuple[str, float]:
         rows = [self.features[g] for g in grams(tokens(text)) if g in self.features]
         p = self._softmax((self.weights[rows].sum(axis=0) + self.bias)[None], self.temperature)[0]
@@ -172,30 +196,49 @@ def _pairs(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _paragraphs(base: DataFrame) -> DataFrame:
+    """``id_, key_, no_, last_, line``: each line of ``t``, and each run of several lines that aren't blank, by its first and last line."""
+    blank = lambda i: F.coalesce(F.btrim(F.get("lines", i), F.lit(" \t\r\v\f")) == "", F.lit(True))
+    lines = base.select("id_", "key_", F.split("t", "\n").alias("lines")).withColumn("at", F.sequence(F.lit(0), F.size("lines") - 1))
+    begin, end = F.filter("at", lambda i: ~blank(i) & blank(i - 1)), F.filter("at", lambda i: ~blank(i) & blank(i + 1))
+    runs = F.filter(F.zip_with(begin, end, lambda a, b: F.struct(a.alias("no_"), b.alias("last_"))), lambda r: r["no_"] < r["last_"])
+    units = F.concat(F.transform("at", lambda i: F.struct(i.alias("no_"), i.alias("last_"))), runs)
+    cut = lines.select("id_", "key_", "lines", F.explode(units).alias("u"))
+    return cut.select("id_", "key_", "u.no_", "u.last_", F.array_join(F.slice("lines", F.col("u.no_") + 1, F.col("u.last_") - F.col("u.no_") + 1), " ").alias("line"))
+
+
 def scan_licences(docs: DataFrame, id: str = "doc_id", text: str = "text", model: LicenceModel | None = None, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """``id, line_no, family, probability, similarity, confirmed, line`` of every line that the model names a family for."""
+    """``id, line_no, family, probability, similarity, confirmed, line`` of every line and joined paragraph that the model names a family for."""
     spark, model = docs.sparkSession, model or LicenceModel()
-    cue = rf"(?i)(?<![a-z0-9])(?:{'|'.join(CUES)})(?![a-z0-9])"
-    base = docs.select(F.col(id).alias("id_"), row_key(F.col(text).cast("string")).alias("key_"), F.col(text).cast("string").alias("t")).where(F.col("t").rlike(cue))
-    lines = base.select("id_", "key_", F.posexplode(F.split("t", "\n")).alias("no_", "line")).where(F.col("line").rlike(cue))
-    cut = lines.select("id_", "key_", "no_", "line", _words(F.col("line")).alias("w"))
-    cut = materialise(cut.select("id_", "key_", "no_", "line", F.array_distinct("w").alias("w"), _pairs(F.col("w")).alias("pairs")), "licence-lines")
-    rows = [(g, *map(float, model.weights[i])) for g, i in model.features.items()]
+    cue = rf"(?<![a-z0-9])(?:{'|'.join(model.triggers())})(?![a-z0-9])"
+    base = docs.select(F.col(id).alias("id_"), row_key(F.col(text).cast("string")).alias("key_"), F.col(text).cast("string").alias("t"))
+    rows = [(g, 0, *map(float, model.weights[i])) for g, i in model.features.items()] + [("", 1, *[0.0] * len(model.classes))]
     columns = [f"c{k}" for k in range(len(model.classes))]
-    weights = spark.createDataFrame(rows, ", ".join(["gram string", *(f"{c} double" for c in columns)]))  # as many rows as the templates have n-grams
-    # The same row twice would count twice, so each line's n-grams are made distinct with its place.
-    found = cut.select("id_", "key_", "no_", F.explode(F.concat("w", "pairs")).alias("gram")).distinct().join(F.broadcast(weights), "gram")
-    sums = found.groupBy("id_", "key_", "no_").agg(*(F.round(F.sum(c) + float(b), 6).alias(c) for c, b in zip(columns, model.bias, strict=True)))
+    weights = spark.createDataFrame(rows, ", ".join(["gram string", "mark int", *(f"{c} double" for c in columns)]))  # as many rows as the templates have n-grams
+    keys = ["id_", "key_", "no_", "last_"]
+    cut = _paragraphs(base.where(F.lower("t").rlike(cue))).where(F.lower("line").rlike(cue)).select(*keys, _words(F.col("line")).alias("w"))
+    # The same row twice counts twice, so sums are divided by the rows, which the empty n-gram counts; each task adds up its own first.
+    found = cut.select(*keys, F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "w", _pairs(F.col("w"))))).alias("gram")).join(F.broadcast(weights), "gram")
+    sums = found.groupBy(*keys).agg(*(F.round(F.sum(c) / F.sum("mark") + float(b), 6).alias(c) for c, b in zip(columns, model.bias, strict=True)))
     best = F.greatest(*columns)
     scale = sum((F.exp((F.col(c) - best) / model.temperature) for c in columns), F.lit(0.0))
     family = F.lit(UNKNOWN)
     for c, name in reversed(list(zip(columns, model.classes, strict=True))):
         family = F.when(F.col(c) == best, F.lit(name)).otherwise(family)
-    named = sums.select("id_", "key_", "no_", family.alias("family"), F.round(1 / scale, 6).alias("probability")).where(F.col("family") != UNKNOWN)
+    named = sums.select(*keys, family.alias("family"), F.round(1 / scale, 6).alias("probability")).where(F.col("family") != UNKNOWN)
+    named = materialise(named, "licence-named")
     shapes = [(f, sorted(grams(tokens(t)) - set(tokens(t)))) for f, ts in TEMPLATES.items() for t in ts]
     of_family = F.create_map(*(x for f in TEMPLATES for x in (F.lit(f), F.array(*(F.array(*map(F.lit, p)) for g, p in shapes if g == f)))))
-    again = cut.select(F.col("id_").alias("i"), F.col("key_").alias("k"), F.col("no_").alias("n"), "line", "pairs").distinct()
-    joined = named.join(again, F.col("id_").eqNullSafe(F.col("i")) & (F.col("key_") == F.col("k")) & (F.col("no_") == F.col("n")))
+    # Only the texts with a named paragraph are cut again, each once.
+    places = named.groupBy("id_", "key_").agg(F.collect_list(F.struct("no_", "last_", "family", "probability")).alias("places"))
+    places = small(materialise(places, "licence-places"), BROADCAST_ROWS)[0].withColumnsRenamed({"id_": "i", "key_": "k"})
+    texts = base.join(places, F.col("id_").eqNullSafe(F.col("i")) & (F.col("key_") == F.col("k"))).select("id_", "key_", "t", "places").dropDuplicates(["id_", "key_"])
+    again = texts.select("id_", "key_", F.split("t", "\n").alias("lines"), F.explode("places").alias("p")).select("id_", "key_", "p.*", F.array_join(F.slice("lines", F.col("p.no_") + 1, F.col("p.last_") - F.col("p.no_") + 1), " ").alias("line"))
     held = F.array_max(F.transform(of_family[F.col("family")], lambda p: F.size(F.array_intersect(p, F.col("pairs"))) / F.size(p)))
-    out = joined.withColumn("similarity", F.round(held, 6))
-    return out.select(F.col("id_").alias(id), F.col("no_").cast("long").alias("line_no"), "family", "probability", "similarity", (F.col("similarity") >= min_similarity).alias("confirmed"), "line")
+    out = again.withColumn("pairs", _pairs(_words(F.col("line")))).withColumn("similarity", F.round(held, 6)).withColumn("confirmed", F.col("similarity") >= min_similarity)
+    out = materialise(out.drop("pairs"), "licence-found")
+    line = out.where("no_ = last_ AND confirmed").select(F.col("id_").alias("i"), F.col("key_").alias("k"), F.col("no_").alias("n"), F.col("family").alias("f"))
+    same = F.col("id_").eqNullSafe(F.col("i")) & (F.col("key_") == F.col("k")) & (F.col("family") == F.col("f"))
+    joined = out.where("no_ < last_ AND confirmed").join(line, same & F.col("n").between(F.col("no_"), F.col("last_")), "left_anti")
+    out = out.where("no_ = last_").unionByName(joined)
+    return out.select(F.col("id_").alias(id), F.col("no_").cast("long").alias("line_no"), "family", "probability", "similarity", "confirmed", "line")

@@ -448,3 +448,25 @@ def test_licences(spark, edge_docs, no_docs):
     assert all(abs(r.probability - want[r.doc_id][2]) < 1e-4 for r in found)
     assert all(r.confirmed for r in found if r.doc_id < len(lines) - 4 - len(license_scan.COUNTER))
     assert license_scan.scan_licences(edge_docs, model=model).count() == 0 and license_scan.scan_licences(no_docs, model=model).count() == 0
+
+
+def test_licences_without_cues_and_wrapped(spark):
+    model = license_scan.LicenceModel()
+    cut = "Permission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files (the \"Software\"), to deal in the\nSoftware without restriction"
+    texts = [(0, "CC BY-SA 4.0"), (1, f"a title\n\n{cut}\n\nthe end"), (2, "https://creativecommons.org/licenses/by-nc/4.0/"), (3, "modification, are permitted provided that the following conditions are met"), (4, "plain words")]
+    found = license_scan.scan_licences(spark.createDataFrame(texts, "doc_id long, text string"), model=model).collect()
+    whole = [r for r in found if r.doc_id == 1 and r.confirmed]
+    assert [(r.line_no, r.family, r.line) for r in whole] == [(2, "mit", cut.replace("\n", " "))]
+    want = {i: model.predict(t)[0] for i, t in texts if i != 1}
+    assert {r.doc_id: r.family for r in found if r.doc_id != 1} == {i: f for i, f in want.items() if f != license_scan.UNKNOWN}
+    assert want[0] == "cc-by"
+
+
+def test_no_named_text_lacks_a_trigger():
+    model, rng = license_scan.LicenceModel(), random.Random(2)
+    names, triggers = sorted({w for g in model.features for w in g.split()}), set(model.triggers())
+    quiet = [w for w in names if w not in triggers]
+    assert model.predict(" ".join(quiet))[0] == license_scan.UNKNOWN
+    for _ in range(300):
+        text = " ".join(rng.choices(names, k=rng.randrange(1, 15)))
+        assert model.predict(text)[0] == license_scan.UNKNOWN or triggers & set(text.split())
