@@ -13,22 +13,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A folder of this application in the one that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a
+    local session takes a temporary folder, and a cluster is an error, as its executors don't share any. The folder goes when
+    the application ends."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="frameloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+        context.setCheckpointDir(found)
+    folder = f"{found.rstrip('/')}/frameloom-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and is computed once."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all tables that ``materialise`` wrote for this application; results that read them must have been taken before."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, otherwise unchanged; pass a materialised ``df``."""
     fits = df.limit(max_rows + 1).count() <= max_rows if max_rows < 1 << 16 else df.count() <= max_rows

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -66,12 +67,61 @@ def test_packing_reaches_the_bound(spark, corpus, no_docs):
 def test_plan_holds_every_count_once(counts):
     plan = packing.plan_bins(counts, 60)
     held = Counter()
-    for n, inside in plan:
+    for n, inside in plan.groups:
         assert sum(x * k for x, k in inside) <= 60
         for x, k in inside:
             held[x] += n * k
     assert held == Counter(counts)
-    assert sum(n for n, _ in plan) <= sum(n for n, _ in packing.best_fit(counts, 60))
+    assert plan.by_program + plan.by_best_fit == sum(counts.values())
+    assert plan.bound <= plan.bins <= max(plan.value + len(counts), 1.1 * sum(n for n, _ in packing.best_fit(counts, 60)) + 1)
+
+
+@settings(deadline=None, max_examples=25)
+@given(st.dictionaries(st.integers(1, 30), st.tuples(st.integers(1, 4), st.floats(0.1, 9)), min_size=1, max_size=6), st.integers(1, 40))
+def test_knapsack_and_traces_against_enumeration(kinds, capacity):
+    copies, price = {x: n for x, (n, _) in kinds.items()}, {x: p for x, (_, p) in kinds.items()}
+    best, items, taken = packing._knapsack(price, copies, capacity)
+    bags = [dict(zip(copies, ns, strict=True)) for ns in product(*(range(n + 1) for n in copies.values()))]
+    for room, found in enumerate(packing._trace(items, taken, list(range(capacity + 1)))):
+        want = max(sum(price[x] * n for x, n in bag.items()) for bag in bags if sum(x * n for x, n in bag.items()) <= room)
+        assert best[room] == pytest.approx(want) == pytest.approx(sum(price[x] * n for x, n in found.items()))
+        assert all(n <= copies[x] for x, n in found.items()) and sum(x * n for x, n in found.items()) <= room
+
+
+def test_solution_covers_every_count_and_the_bound_holds():
+    # 8 bins are needed: 7s go with 3s, 6s with 4s.
+    counts = {7: 4, 3: 4, 6: 4, 4: 4}
+    solution = packing.solve_lp(counts, 10)
+    for x, n in counts.items():
+        assert sum(a * dict(c).get(x, 0) for c, a in solution.amounts.items()) >= n - 1e-6
+    assert solution.bound <= 8 + 1e-9 and solution.value >= 8 - 1e-9
+    assert packing.plan_bins(counts, 10).bins == 8
+    # Thirds of the capacity and a bit: no bin holds three, which the bound shows and the total size doesn't.
+    assert packing.solve_lp({34: 90}, 100).bound == pytest.approx(45)
+
+
+@pytest.mark.parametrize("pieces", [200, 1000, 10_000, 250_000])
+def test_the_program_places_the_pieces(pieces):
+    rng = random.Random(pieces)
+    counts = Counter(min(4096, int(rng.lognormvariate(6, 1.2)) + 1) for _ in range(pieces))
+    plan = packing.plan_bins(counts)
+    assert plan.by_program >= (0.9 if pieces < 1000 else 0.95) * pieces
+    assert plan.bins <= plan.value + len(plan.groups) and plan.bins <= 1.001 * plan.bound + 2
+
+
+def test_other_tokenizers_go_through_the_whole_tokenizer(tmp_path):
+    import json
+
+    config = json.loads(open(tokenizer_path()).read())
+    config["normalizer"] = None
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(config))
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(str(other))
+    known = packing.chunk_ids(str(other))
+    for text in ("Some Words, it's 12", "", " a  b\nc\t", "École ÉÀ"):
+        assert packing.text_ids(known, text) == struct.pack(f"<{len(ids := whole.encode(text, add_special_tokens=False).ids)}I", *ids)
 
 
 # quality rules
@@ -470,3 +520,30 @@ def test_no_named_text_lacks_a_trigger():
     for _ in range(300):
         text = " ".join(rng.choices(names, k=rng.randrange(1, 15)))
         assert model.predict(text)[0] == license_scan.UNKNOWN or triggers & set(text.split())
+
+
+# helpers
+
+
+def test_written_tables_go_on_release(spark):
+    from pathlib import Path
+
+    from frameloom.llm import common
+
+    table = common.materialise(spark.range(5), "numbers")
+    assert table.count() == 5
+    folder = Path(common.shared_dir(spark).removeprefix("file:"))
+    assert any(folder.iterdir())
+    common.release(spark)
+    assert not folder.exists()
+    assert common.materialise(spark.range(3), "numbers").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from frameloom.llm import common
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(conf={}, sparkContext=context))
