@@ -25,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(found)
     folder = f"{found.rstrip('/')}/frameloom-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     return folder
 
 
