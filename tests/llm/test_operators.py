@@ -5,14 +5,16 @@ from __future__ import annotations
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations, product
+from itertools import combinations, permutations, product
 
 import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from frameloom.llm import decontaminate, html_extract, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filters
 from frameloom.llm.components import connected_components
@@ -208,16 +210,16 @@ def test_style_tree_cuts_inside_the_article(spark):
 # line dedup
 
 
-def lev1(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    if len(a) > len(b):
-        a, b = b, a
-    k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[k:] == b[k + 1 :] or a[k + 1 :] == b[k + 1 :] and len(a) == len(b) or a == b
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], min(before + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
 
 
-def brute_lines(texts):
+def brute_lines(texts, edits=line_dedup.EDITS, per=line_dedup.CHARS_PER_EDIT):
     strip = " \t\r\v\f"
     order = lambda i: (i is not None, i or 0)
     first = {}
@@ -225,6 +227,12 @@ def brute_lines(texts):
         for k, line in enumerate(t.split("\n")):
             if line := line.strip(strip):
                 first[line] = min(first.get(line, ((True, 1 << 60), 0, "")), (order(i), k, t))
+
+    def near(a, b):
+        allowed = min(edits, min(len(a), len(b)) // per) if per else edits
+        return abs(len(a) - len(b)) <= allowed and levenshtein(a, b) <= allowed
+
+    gone = {a for a, b in permutations(first, 2) if first[b][:2] < first[a][:2] and near(a, b)}
     out = Counter()
     for i, t in texts:
         if t is None:
@@ -233,8 +241,7 @@ def brute_lines(texts):
         kept = []
         for k, line in enumerate(t.split("\n")):
             core = line.strip(strip)
-            near = core and len(core) >= line_dedup.MIN_NEAR and any(len(o) >= line_dedup.MIN_NEAR and o != core and first[o][:2] < first[core][:2] and lev1(core, o) for o in first)
-            if not core or first[core][:2] == (order(i), k) and not near:
+            if not core or first[core][:2] == (order(i), k) and core not in gone:
                 kept.append(line)
         out[i, "\n".join(kept)] += 1
     return out
@@ -242,23 +249,49 @@ def brute_lines(texts):
 
 @pytest.mark.parametrize("bucket", [line_dedup.MAX_BUCKET, 1])
 def test_line_dedup(spark, corpus, bucket):
-    line_dedup.kept_lines.__defaults__, before = (*line_dedup.kept_lines.__defaults__[:3], bucket), line_dedup.kept_lines.__defaults__
-    try:
-        found = Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(corpus)))
-    finally:
-        line_dedup.kept_lines.__defaults__ = before
+    found = Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(corpus, bucket=bucket)))
     assert found == brute_lines([(r.doc_id, r.text) for r in corpus.collect()])
 
 
-def test_hot_segments_meet_by_variants(spark):
+@pytest.mark.parametrize(("edits", "per", "bucket"), [(1, 20, 48), (2, 20, 6), (3, 10, 48), (3, 0, 24), (2, 0, 48)])
+def test_edits_against_brute_force(spark, edits, per, bucket):
+    rng = random.Random(edits)
+    lines = []
+    for k in range(90):
+        base = "".join(rng.choice("ab c") for _ in range(rng.randrange(1, 70))) if k % 3 else "the same beginning of a line and then " + str(rng.randrange(10**4))
+        for _ in range(rng.randrange(1, 4)):
+            near = base
+            for _ in range(rng.randrange(5)):
+                i = rng.randrange(len(near) + 1)
+                near = rng.choice([near[:i] + "d" + near[i:], near[:i] + near[i + 1 :], near[:i] + "a" + near[i + 1 :]])
+            lines.append(near)
+    rng.shuffle(lines)
+    texts = [(i, "\n".join(lines[i::40])) for i in range(40)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    assert Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(docs, edits=edits, chars_per_edit=per, bucket=bucket))) == brute_lines(texts, edits, per)
+
+
+def test_hot_segments(spark):
     rng = random.Random(4)
     base = "the same beginning of a line and then the number "
     lines = {base + str(rng.randrange(10**4)).zfill(4) for _ in range(150)} | {base + str(rng.randrange(10**3)) for _ in range(40)}
+    lines |= {base + " ".join(words(rng, 6)) for _ in range(120)}
     texts = list(enumerate(sorted(lines, key=lambda x: rng.random())))
     docs = spark.createDataFrame(rows(texts), SCHEMA)
     assert Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(docs))) == brute_lines(texts)
 
 
+def test_very_long_lines(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    texts = [(i, base[:50_000] + "".join(rng.choice("xyz") for _ in range(50_000)) if i % 3 else base[: 1000 + i] + "Q" + base[1000 + i :]) for i in range(60)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    began = time.monotonic()
+    found = {r[0]: r[2] for r in got(line_dedup.dedup_lines(docs))}
+    assert time.monotonic() - began < 60
+    assert found == {i: int(i % 3 == 0 and i > 0) for i in range(60)}
+
+
 def test_line_dedup_edges(spark, edge_docs, no_docs):
     assert got(line_dedup.dedup_lines(no_docs)) == [] and line_dedup.drop_lines(no_docs).columns == no_docs.columns
     found = line_dedup.dedup_lines(edge_docs)
@@ -268,19 +301,20 @@ def test_line_dedup_edges(spark, edge_docs, no_docs):
     assert left.columns == edge_docs.columns and ids[7] == 0 and ids[1] == ids[2] == ids[3] == ids[5] == 1 and ids[None] == 2
 
 
-def test_within_one_edit(spark):
+def test_banded_distance(spark):
     rng = random.Random(1)
-    pairs = []
-    for _ in range(1500):
-        a = "".join(rng.choice("ab") for _ in range(rng.randrange(9)))
-        b = a
-        for _ in range(rng.randrange(4)):
-            i = rng.randrange(len(b) + 1)
-            b = rng.choice([b[:i] + "c" + b[i:], b[:i] + b[i + 1 :], b[:i] + "a" + b[i + 1 :]])
-        if 0 <= len(b) - len(a) <= 1:
-            pairs.append((a, b, lev1(a, b)))
-    df = spark.createDataFrame(pairs, "r string, s string, ok boolean")
-    assert df.where(line_dedup.within_one_edit(df.r, df.s) != df.ok).count() == 0
+    for edits in (1, 2, 3):
+        pairs = []
+        for _ in range(1500):
+            a = "".join(rng.choice("ab") for _ in range(rng.randrange(9)))
+            b = a
+            for _ in range(rng.randrange(edits + 3)):
+                i = rng.randrange(len(b) + 1)
+                b = rng.choice([b[:i] + "c" + b[i:], b[:i] + b[i + 1 :], b[:i] + "a" + b[i + 1 :]])
+            if 0 <= len(b) - len(a) <= edits:
+                pairs.append((a, b, min(levenshtein(a, b), edits + 1)))
+        df = spark.createDataFrame(pairs, "r string, s string, d int")
+        assert df.where(F.least(line_dedup.edit_distance(df.r, df.s, edits), F.lit(edits + 1)) != df.d).count() == 0
 
 
 # suffix arrays
