@@ -2,9 +2,9 @@
 
 Words are lower-cased ([A-Z] only) runs of digits, a-z and characters beyond ASCII. A test item's windows are its runs of
 ``size`` words, or all its words if it has fewer. The corpus frequency of every test term is counted; each window keeps the
-position of its rarest term; the postings ``(term, document, position)`` of those terms are stored and joined with the windows
-by term, which gives offset-adjusted places; the window's other words are then intersected at their offsets in the document.
-Windows with a term that the corpus lacks end at the counts.
+position of its rarest term; the postings ``(term, document, position)`` of those terms are joined with the windows by term, which
+gives offset-adjusted places; the window's other words are then compared at their offsets in the document, all at once by 128
+bits of hashes of the run of words. Windows with a term that the corpus lacks end at the counts.
 
 Null and empty texts have no words and no matches; texts are read whole; rows of one id and text get equal results, rows of one
 id and different texts their own; test rows of one item id (null too) and different texts are looked up each by itself and named as
@@ -20,8 +20,6 @@ from .common import materialise, row_key, small
 WINDOW = 10
 #: Rows up to which a table made from the benchmark is broadcast; beyond it, it is joined by shuffles.
 BROADCAST_ROWS = 400_000
-#: Words of all test items together up to which the items are broadcast.
-BROADCAST_WORDS = 2_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -33,64 +31,58 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BREAKS), "")
 
 
+def _prints(words: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a run of words."""
+    return F.xxhash64(words), F.xxhash64(F.lit(1), words)
+
+
 def _anchors(items: DataFrame, size: int, docs_words: DataFrame) -> DataFrame:
-    """``term, item_id, tkey, ipos, starts``: the windows of an item's text that are looked up by its word ``ipos``."""
+    """``term, offset, item_id, n, a, b, g``: each item's windows, looked up by their rarest word (then the first) at ``offset``."""
     terms = materialise(items.select(F.explode("w").alias("term")).distinct(), "test-terms")
     hinted, _ = small(terms, BROADCAST_ROWS)
     counts = docs_words.select(F.explode("w").alias("term")).join(hinted, "term").groupBy("term").agg(F.count("*").alias("n"))
     counts = materialise(counts, "test-term-counts")
-    placed = items.select("item_id", "tkey", "w", F.posexplode("w").alias("ipos", "term")).join(small(counts, BROADCAST_ROWS)[0], "term", "left")
-    # Each word with the windows it is part of; the rarest word (then the first) of a window stands for it.
-    n = F.size("w")
-    first, last = F.greatest(F.lit(0), F.col("ipos") - (size - 1)), F.least(F.col("ipos"), F.greatest(F.lit(0), n - size))
-    windows = placed.select("item_id", "tkey", "ipos", "term", F.coalesce("n", F.lit(0)).alias("n"), F.explode(F.sequence(first, last)).alias("start"))
-    rarest = windows.groupBy("item_id", "tkey", "start").agg(F.min(F.struct("n", "ipos", "term")).alias("r")).where("r.n > 0")
-    return rarest.groupBy("item_id", "tkey", F.col("r.term").alias("term"), F.col("r.ipos").alias("ipos")).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size))
+    windows = items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s + 1, size))).alias("g")).distinct()
+    placed = windows.select("item_id", "g", F.posexplode("g").alias("offset", "term")).join(small(counts, BROADCAST_ROWS)[0], "term", "left")
+    rarest = placed.groupBy("item_id", "g").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("r")).where("r.n > 0")
+    a, b = _prints(F.col("g"))
+    return rarest.select("r.term", "r.offset", "item_id", F.size("g").alias("n"), a.alias("a"), b.alias("b"), "g")
 
 
 def _matches(docs: DataFrame, items: DataFrame, size: int, slack: int, how: str = "left") -> DataFrame:
     """``docs`` (``id_, key_, text_``; with ``how`` "inner" only those that a rarest term is in) with ``n_words`` and ``hits``: structs of item_id, at (first word) and n (words)."""
     with_words = docs.select("id_", "key_", words(F.col("text_")).alias("w"))
-    items = items.where(F.size("w") > 0).dropDuplicates(["item_id", "tkey"])
-    anchors = materialise(_anchors(items, size, with_words), "anchors")
+    items = items.where(F.size("w") > 0)
+    anchors = _anchors(items, size, with_words)
+    anchors = materialise(anchors if slack else anchors.drop("g"), "anchors")
     hinted, _ = small(anchors, BROADCAST_ROWS)
     postings = with_words.select("id_", "key_", F.posexplode("w").alias("pos", "term"))
-    found = postings.join(hinted, "term").select("id_", "key_", "item_id", "tkey", (F.col("pos") - F.col("ipos")).alias("shift"), "starts")
-    found = found.groupBy("id_", "key_", "item_id", "tkey", "shift").agg(F.array_distinct(F.flatten(F.collect_set("starts"))).alias("starts"))
-    test = materialise(items.select(F.col("item_id").alias("i_"), F.col("tkey").alias("t_"), F.col("w").alias("iw")), "test-words")
-    if (test.agg(F.sum(F.size("iw"))).first()[0] or 0) <= BROADCAST_WORDS:
-        test = F.broadcast(test)
-    same = F.col("item_id").eqNullSafe(F.col("i_")) & (F.col("tkey") == F.col("t_"))
-    found = found.join(test, same).groupBy("id_", "key_").agg(F.collect_list(F.struct("item_id", "shift", "starts", "iw")).alias("places"))
-
-    def at(w: Column, place: Column) -> Column:
-        def one(start: Column) -> Column:
-            wanted = F.slice(place["iw"], start + 1, size)
-            begin = place["shift"] + start
-            n = F.size(wanted)
-            if not slack:
-                same = (begin >= 0) & (F.slice(w, F.greatest(begin + 1, F.lit(1)), n) == wanted)
-                return F.when(same, F.struct(place["item_id"].alias("item_id"), begin.alias("at"), n.alias("n")))
-            low = F.greatest(begin - slack, F.lit(0))
-            high = F.least(begin + n + slack, F.size(w))
-            near = F.slice(w, low + 1, F.greatest(high - low, F.lit(0)))
-            return F.when(F.size(F.array_except(wanted, near)) == 0, F.struct(place["item_id"].alias("item_id"), low.alias("at"), (high - low).alias("n")))
-
-        return F.filter(F.transform(place["starts"], one), lambda x: x.isNotNull())
+    # A place is some 40 bytes: the window is known by its prints, and its words stay where they are.
+    place = F.struct("item_id", (F.col("pos") - F.col("offset")).alias("at"), "n", *(["g"] if slack else ["a", "b"]))
+    found = postings.join(hinted, "term").where("pos >= offset" if not slack else "true").groupBy("id_", "key_").agg(F.collect_set(place).alias("places"))
+
+    def hit(w: Column, place: Column) -> Column:
+        begin, n = place["at"], place["n"]
+        if not slack:
+            a, b = _prints(F.slice(w, begin + 1, n))
+            return F.when((a == place["a"]) & (b == place["b"]), F.struct(place["item_id"].alias("item_id"), begin.alias("at"), n.alias("n")))
+        low = F.greatest(begin - slack, F.lit(0))
+        high = F.least(begin + n + slack, F.size(w))
+        near = F.slice(w, low + 1, F.greatest(high - low, F.lit(0)))
+        return F.when(F.size(F.array_except(place["g"], near)) == 0, F.struct(place["item_id"].alias("item_id"), low.alias("at"), (high - low).alias("n")))
 
     texts = docs.withColumnRenamed("id_", "d_").withColumnRenamed("key_", "k_")
     joined = texts.join(found, F.col("d_").eqNullSafe(F.col("id_")) & (F.col("k_") == F.col("key_")), how)
     joined = joined.select("d_", "places", words(F.col("text_")).alias("w"))
     # The words are bound to a lambda's variable, else Spark may split the text again for every place.
-    hits = F.transform(F.array(F.struct("w", "places")), lambda z: F.flatten(F.transform(z["places"], lambda p: at(z["w"], p))))[0]
-    hits = F.array_distinct(hits)  # texts of one item may share a window
-    return joined.select(F.col("d_").alias("id_"), F.size("w").alias("n_words"), F.when(F.col("places").isNotNull(), hits).alias("hits"))
+    hits = F.transform(F.array(F.struct("w", "places")), lambda z: F.array_compact(F.transform(z["places"], lambda p: hit(z["w"], p))))[0]
+    return joined.select(F.col("d_").alias("id_"), F.size("w").alias("n_words"), F.when(F.col("places").isNotNull(), F.array_distinct(hits)).alias("hits"))
 
 
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """``item_id, tkey, w``; ``tkey`` tells texts of one item id apart."""
-    found = benchmark.select(F.col(item).alias("item_id"), words(F.col(text).cast("string")).alias("w"))
-    return found.withColumn("tkey", F.xxhash64("w"))
+    """``item_id, w``; an id's texts each have their row."""
+    return benchmark.select(F.col(item).alias("item_id"), words(F.col(text).cast("string")).alias("w"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
