@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import struct
 import time
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from itertools import combinations, permutations, product
 
 import numpy as np
@@ -170,8 +172,8 @@ PAGE = '<html><head><title>t</title><style>p{}</style></head><body class="has-si
         ("plain  text\n here", "plain text here"),
         ("<p>a<p>b", "a\nb"),
         (PAGE % "<article><h1>T &amp; U</h1><p>one <b>two<br>three<p>four &lt;b&gt;<script>x='</p>'</script></article>", "T & U\none two three\nfour <b>"),
-        (PAGE % '<main><p>x</p><div class="share">tweet</div><ul><li>i<li>j</ul></main>', "x\ni\nj"),
-        (PAGE % "<div><p>no article</p></div>", "no article"),
+        (PAGE % f'<main><p>{"x" * 40}</p><div class="share">tweet</div><ul><li>i<li>j</ul></main>', "x" * 40 + "\ni\nj"),
+        (PAGE % f"<div><p>no article{' at all' * 9}</p></div>", "no article" + " at all" * 9),
         ("<article><p>cut off <b>he", "cut off he"),
         ("<article><p>cut off</p><di", "cut off"),
         ("<article>a <!-- b --> c<!-- <p>d", "a c"),
@@ -182,21 +184,33 @@ def test_main_text(html, text):
     assert html_extract.Pages().main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div class="layout has-sidebar"><p>The whole page</p></div>', "The whole page"),
+        ('<form id="aspnetForm"><article>Text of it</article><input></form>', "Text of it"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text</p></article>', "Title\nText"),
+        ('<article><p>Text</p><div class="related-work">Others did it too</div><p class="side">Beside</p></article>', "Text\nOthers did it too\nBeside"),
+        ("<article><p title=it's>don't stop</p><p class='a>b'>x</p></article>", "don't stop\nx"),
+        ('<article><p>Text</p><div class="ad">' + "long text in it " * 9 + "</div></article>", "Text\n" + ("long text in it " * 9).strip()),
+        ("<article>" + "<p>Text of some length</p>" * 9 + '<div class="ad">Buy it</div></article>', "\n".join(["Text of some length"] * 9)),
+        ("<form>" + "Everything is in a form. " * 9 + "<button>Go</button></form><p>Some more</p>", ("Everything is in a form. " * 9).strip() + "\nSome more"),
+    ],
+)
+def test_markup_is_one_term(html, text):
+    assert html_extract.Pages().main_text(html) == text
+
+
 def test_style_tree_cuts_what_all_pages_share(spark):
     pages = [(i, "http://h.example/%d" % i, f"<body><div class=x>Same words here</div><div class=y>Text {i} of its own</div></body>") for i in range(12)]
     pages += [(90, None, "<p>alone"), (91, "http://o.example", None), (92, "no scheme", None), (None, "http://h.example/0", pages[0][2]), (0, pages[0][1], pages[0][2])]
-    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, cut string")
+    df = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, host string, stats string")
+    want = Counter()
+    for i, url, html in pages:
+        text = "alone" if i == 90 else "" if html is None else re.search(r"Text \d+ of its own", html)[0]
+        want[i, url, text, len(text)] += 1
     for limit in (html_extract.BROADCAST_NODES, -1):
-        html_extract.BROADCAST_NODES, before = limit, html_extract.BROADCAST_NODES
-        try:
-            found = Counter(got(html_extract.main_texts(df)))
-        finally:
-            html_extract.BROADCAST_NODES = before
-        want = Counter()
-        for i, url, html in pages:
-            text = "alone" if i == 90 else "" if html is None else re.search(r"Text \d+ of its own", html)[0]
-            want[i, url, text, len(text)] += 1
-        assert found == want
+        assert Counter(got(html_extract.main_texts(df, broadcast_nodes=limit))) == want
     assert html_extract.main_texts(df.limit(0)).count() == 0
 
 
@@ -207,6 +221,89 @@ def test_style_tree_cuts_inside_the_article(spark):
     assert found == {i: f"Text {i} of its own" for i in range(10)} | {50 + i: "Text 1 of its own\nTell us what you think" for i in range(10)}
 
 
+class TreeParser(HTMLParser):
+    """An independent reading of pages of nested divs: (path, children's names, own texts) of each element."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.top = ["", [], []]
+        self.stack = [self.top]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        element = [dict(attrs).get("class", ""), [], []]
+        self.stack[-1][1].append(element)
+        self.stack.append(element)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        element = [None, [], [data]]
+        self.stack[-1][1].append(element)
+
+
+def walk(element, path=()):
+    yield path, element
+    for child in element[1]:
+        if child[0] is not None:
+            yield from walk(child, (*path, child[0]))
+
+
+def test_style_tree_against_brute_force(spark):
+    rng = random.Random(8)
+
+    def part(depth):
+        name = rng.choice("abcd")
+        if depth == 0 or rng.random() < 0.4:
+            return f'<div class="{name}">{"same" if name in "ab" else f"own {rng.random()}"}</div>'
+        return f'<div class="{name}">' + "".join(part(depth - 1) for _ in range(rng.randrange(1, 4))) + "</div>"
+
+    pages = [(i, f"http://h{i % 2}.example/{i}", "".join(part(3) for _ in range(3))) for i in range(50)]
+    found = {r.page_id: r.text for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    changed = 0
+    for host in (0, 1):
+        trees = {i: TreeParser(html).top for i, _, html in pages if i % 2 == host}
+        of_path = defaultdict(list)  # path -> for each page: layout, texts
+        for tree in trees.values():
+            own = defaultdict(lambda: ([], set()))
+            for path, e in walk(tree):
+                own[path][0].append(tuple(c[0] for c in e[1] if c[0] is not None))
+                own[path][1].update(c[2][0] for c in e[1] if c[0] is None)
+            for path, (layout, texts) in own.items():
+                of_path[path].append((tuple(layout), texts))
+
+        def entropy(counts, m):
+            return -sum(c / sum(counts) * math.log(c / sum(counts)) / math.log(m) for c in counts)
+
+        def composite(path, e):
+            m = len(of_path[path])
+            judged = m >= html_extract.MIN_PAGES
+            layouts = Counter(x for x, _ in of_path[path])
+            texts = Counter(t for _, ts in of_path[path] for t in ts)
+            layout = entropy(layouts.values(), m) if judged else 1.0
+            content = 1 - sum(entropy([1] * c, m) for c in texts.values()) / len(texts) if judged and texts else 1.0
+            inside = [composite((*path, c[0]), c) for c in e[1] if c[0] is not None]
+            values = [x[0] for x in inside] + [content] * any(c[0] is None for c in e[1])
+            share = html_extract.DECAY ** (len(layouts) if judged else 1)
+            mean = sum(values) / len(values)
+            own = (1 - share) * layout + share * mean if inside else mean
+            return own, max([own, *(x[1] for x in inside)])
+
+        def texts_of(path, e):
+            for c in e[1]:
+                if c[0] is None:
+                    yield c[2][0]
+                elif composite((*path, c[0]), c)[1] >= html_extract.MIN_IMPORTANCE:
+                    yield from texts_of((*path, c[0]), c)
+
+        for i, tree in trees.items():
+            want = list(texts_of((), tree))
+            assert found[i] == "\n".join(want)
+            changed += len(want) < sum(len([c for c in e[1] if c[0] is None]) for _, e in walk(tree))
+    assert 10 < changed
+
+
 # line dedup
 
 
@@ -428,17 +525,87 @@ def test_simhash(spark, corpus, edge_docs, no_docs, tile):
                     least[find(k)] = min(least.get(find(k), i), i)
             want = Counter((i, f"{f:016x}", least.get(find(k))) for k, (i, f) in enumerate(nodes))
             assert Counter(got(simhash.simhash_components(docs))) == want
-            one = simhash.keep_one(docs)
-            assert one.columns == docs.columns and {r.doc_id for r in one.collect()} == {*least.values()}
     finally:
         simhash.links.__defaults__ = before
 
 
+def brute_sketch(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = []
+    for i in range(max(1, len(w) - 4)):
+        x = xxhash.xxh64_intdigest(" ".join(w[i : i + 5]), 42)
+        y = (x + 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 % 2**64
+        y = (y ^ y >> 31) * 0x94D049BB133111EB % 2**64
+        h.append(x | (y ^ y >> 29) << 64)
+    return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_ones(texts):
+    """(id, text) that stay of near copies: those whose id is the least of their component."""
+    nodes = [(i, t, brute_sketch(t)) for i, t in texts]
+    up = list(range(len(nodes)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in combinations(range(len(nodes)), 2):
+        if (nodes[a][2] ^ nodes[b][2]).bit_count() <= simhash.KEEP_RADIUS:
+            up[find(a)] = find(b)
+    least = {}
+    for k, (i, _, _) in enumerate(nodes):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, t) for k, (i, t, _) in enumerate(nodes) if least.get(find(k)) == i]
+
+
+def test_keep_one(spark, corpus, edge_docs, no_docs):
+    assert simhash.keep_one(no_docs).count() == 0
+    rng = random.Random(12)
+    edited = []
+    for i in range(12):
+        w = words(rng, 120)
+        edited.append((10 * i, " ".join(w)))
+        for k in range(1, 4):
+            for _ in range(k):
+                w[rng.randrange(120)] = "edited"
+            edited.append((10 * i + k, " ".join(w)))
+    for docs in (corpus, edge_docs, spark.createDataFrame(rows(edited), SCHEMA)):
+        one = simhash.keep_one(docs)
+        assert one.columns == docs.columns
+        assert Counter((r.doc_id, r.text) for r in one.collect()) == Counter(brute_ones([(r.doc_id, r.text) for r in docs.collect()]))
+
+
+def test_sketch_tiles_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (30, 2), dtype=np.uint64)
+    near = [row ^ np.packbits(np.isin(np.arange(128), rng.choice(128, k, replace=False)), bitorder="little").view(np.uint64) for row in base for k in (5, 22, 23, 40)]
+    values = np.unique(np.concatenate([base, np.array(near)]), axis=0)
+    df = spark.createDataFrame([(bytearray(v.tobytes()), int(np.bitwise_count(v).sum())) for v in values], "fp binary, ones int")
+    names = [v.tobytes() for v in values]
+    want = {x: x for x in names}
+
+    def join(up, a, b):
+        a, b = up[a], up[b]
+        return {k: min(a, b) if g in (a, b) else g for k, g in up.items()}
+
+    for a, b in combinations(range(len(names)), 2):
+        if int(np.bitwise_count(values[a] ^ values[b]).sum()) <= 22:
+            want = join(want, names[a], names[b])
+    found = {x: x for x in names}
+    for u, v in got(simhash.sketch_links(df, 22, 10)):
+        found = join(found, bytes(u), bytes(v))
+    assert found == want
+
+
 def test_tiles_lose_no_link():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     values = np.unique(np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)), base ^ np.uint64(7)]))
-    u, v = simhash.tile_links(values, values, 3)
+    u, v = (values[x] for x in simhash.tile_links(values, values, 3))
     group = {int(x): int(x) for x in values}
     for a, b in zip(u.tolist(), v.tolist(), strict=True):
         old, new = group[b], group[a]

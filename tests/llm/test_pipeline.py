@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import random
 from collections import Counter
-from itertools import combinations
 
 import pytest
 
@@ -15,7 +14,7 @@ from frameloom.llm.queries import QUERIES
 from frameloom.llm.sql import ORACLE_SQL
 
 from .conftest import words
-from .test_operators import brute_lines, brute_print, check_places
+from .test_operators import brute_lines, brute_ones, check_places
 
 DATA = "/root/testdata/sf0.001"
 
@@ -44,18 +43,7 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     kept = [(d[0], d[1]) for d in docs if not any(r(quality_rules.Text(d[1])) for r in quality_rules.RULES.values())]
     left = dict(brute_lines(kept).keys())
     left = {i: t for i, t in left.items() if t and t.strip()}
-    nodes = sorted((i, brute_print(t)) for i, t in left.items())
-    up = {i: i for i, _ in nodes}
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    for (a, x), (b, y) in combinations(nodes, 2):
-        if (x ^ y).bit_count() <= 3:
-            up[max(find(a), find(b))] = min(find(a), find(b))
-    ones = {i for i, _ in nodes if find(i) == i}
+    ones = {i for i, _ in brute_ones(sorted(left.items()))}
     windows = [items[0][1].split()[s : s + 10] for s in range(5)]
     clean = {i for i in ones if not any(left[i].split()[p : p + 10] == g for g in windows for p in range(len(left[i].split())))}
     assert 7 in ones and 7 not in clean and 42 not in dict(kept) and 43 not in dict(kept) and 40 not in left
