@@ -42,3 +42,10 @@ def subscore(error: Column) -> Column:
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation, null where either side doesn't vary; an aggregate."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.stats import correlation
+
 
 def with_rank(df: DataFrame, x: str, name: str, *keys: str) -> DataFrame:
     """``name``: the rank of ``x`` within ``keys``, the mean rank for ties.
@@ -18,20 +20,27 @@ def with_rank(df: DataFrame, x: str, name: str, *keys: str) -> DataFrame:
 def correlations(df: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """``keys, srcc, plcc, n``."""
     ranked = with_rank(with_rank(df, x, "rx_", *keys), y, "ry_", *keys)
-    return ranked.groupBy(*keys).agg(F.corr("rx_", "ry_").alias("srcc"), F.corr(x, y).alias("plcc"), F.count("*").alias("n"))
+    return ranked.groupBy(*keys).agg(correlation(F.col("rx_"), F.col("ry_")).alias("srcc"), correlation(F.col(x), F.col(y)).alias("plcc"), F.count("*").alias("n"))
 
 
 def pairwise_accuracy(df: DataFrame, id: str, score: str, quality: str, *keys: str) -> DataFrame:
     """``keys, pairs, accuracy``: of the pairs with different quality, the share that the score orders alike (ties are wrong).
 
-    The rows of a key are compared pair by pair, as the measure is defined; they are models or clips, not frames."""
-    a = df.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col(id).alias("ia"), F.col(score).alias("sa"), F.col(quality).alias("qa"))
-    on = F.col("ia") < F.col(id)
-    for k in keys:
-        on &= F.col(f"{k}_") == F.col(k)
-    pairs = a.join(df.select(*keys, id, score, quality), on).where(F.col("qa") != F.col(quality))
-    right = F.signum(F.col("sa") - F.col(score)) == F.signum(F.col("qa") - F.col(quality))
-    return pairs.groupBy(*keys).agg(F.count("*").alias("pairs"), F.avg(right.cast("double")).alias("accuracy"))
+    No pairs are made: rows are counted by quality and score, and for each quality a running count over the scores tells how many
+    rows of lower quality score less. That is a row for each pair of a distinct (quality, score) and a lower quality."""
+    rows = df.where(F.col(score).isNotNull() & F.col(quality).isNotNull()).groupBy(*keys, F.col(quality).alias("q_"), F.col(score).alias("s_")).agg(F.count("*").alias("c_"))
+    levels = rows.groupBy(*keys, "q_").agg(F.sum("c_").alias("n_"))
+    higher = levels.withColumnRenamed("q_", "high_").select(*keys, "high_")
+    # Each quality's race against a higher one: both sides' rows by score, the lower side counted as it goes by.
+    low = rows.join(higher, list(keys)).where("q_ < high_").select(*keys, F.col("q_").alias("low_"), "high_", "s_", F.lit(0).alias("side_"), "c_")
+    lower = levels.select(*keys, F.col("q_").alias("low_"))
+    high = rows.join(lower, list(keys)).where("low_ < q_").select(*keys, "low_", F.col("q_").alias("high_"), "s_", F.lit(1).alias("side_"), "c_")
+    # Of equal scores the higher side's come first, so ties don't count.
+    w = Window.partitionBy(*keys, "low_", "high_").orderBy("s_", F.desc("side_")).rowsBetween(Window.unboundedPreceding, -1)
+    seen = low.unionByName(high).withColumn("below_", F.sum(F.when(F.col("side_") == 0, F.col("c_"))).over(w))
+    right = seen.where("side_ = 1").groupBy(*keys).agg(F.sum(F.col("c_") * F.coalesce("below_", F.lit(0))).alias("right_"))
+    total = levels.groupBy(*keys).agg(((F.sum("n_") * F.sum("n_") - F.sum(F.col("n_") * F.col("n_"))) / 2).cast("long").alias("pairs")).where("pairs > 0")
+    return total.join(right, list(keys), "left").select(*keys, "pairs", (F.coalesce("right_", F.lit(0)) / F.col("pairs")).alias("accuracy"))
 
 
 def detection(df: DataFrame, predicted: str, actual: str, *keys: str) -> DataFrame:

@@ -125,10 +125,13 @@ def rank_models(scores: DataFrame, model: str, overall: str = "overall") -> Data
     return scores.select(F.col(model).alias("model"), F.col(overall).alias("overall"), (F.col(overall) - F.avg(overall).over(Window.partitionBy())).alias("relative"), F.row_number().over(w).cast("long").alias("rank"))
 
 
-def audit_windows(triggers: DataFrame, n: int, fraction: float = 0.10, cap: int = 64) -> DataFrame:
-    """The windows whose loudest category is loudest: min(cap, max(1, round half to even of n x fraction))."""
-    k = min(cap, max(1, round(n * fraction)))
-    return triggers.orderBy(F.col("error").desc(), "window").limit(k)
+def audit_windows(triggers: DataFrame, keys: list[str], fraction: float = 0.10, cap: int = 64) -> DataFrame:
+    """``keys, window, error``: the windows whose loudest category is loudest: min(cap, max(1, round half to even of n x fraction))
+    of the n that a candidate has."""
+    w = Window.partitionBy(*keys)
+    ranked = triggers.withColumn("n_", F.count("*").over(w)).withColumn("r_", F.row_number().over(w.orderBy(F.col("error").desc(), "window")))
+    wanted = F.least(F.lit(cap), F.greatest(F.lit(1), F.bround(F.col("n_") * F.lit(fraction), 0)))
+    return ranked.where(F.col("r_") <= wanted).drop("n_", "r_")
 
 
 def score_formula(errors: dict[str, float]) -> float:

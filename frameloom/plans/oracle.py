@@ -132,7 +132,6 @@ SELECT found.stream, k, seg FROM found JOIN truth ON found.stream = truth.stream
     "confidence": """WITH m AS (SELECT l_suppkey AS model, count(*) AS total, count(*) FILTER (l_returnflag <> 'R') AS valid, avg(l_discount) AS visible, count(DISTINCT l_linenumber) + 2.0 AS keys, avg(l_tax) AS ambiguity, avg(l_quantity) AS anchor_error, count(*) FILTER (l_quantity > 49) AS warnings, avg(l_linenumber) / 3000 AS wpf FROM lineitem GROUP BY ALL),
 p AS (SELECT model, total, valid, list_filter([1.0 - valid / total, greatest(0, least(1, (0.75 - visible) / 0.5)), greatest(0, least(1, (12 - keys) / 12)), 0.5 * greatest(0, least(1, 1.5 * ambiguity)), greatest(0, least(1, (anchor_error - 8) / 30)), CASE WHEN warnings > 0 THEN least(0.4, 0.15 * warnings) END, greatest(0, least(0.5, (0.01 - 5 * wpf) / 0.01))], lambda x: x IS NOT NULL) AS p FROM m)
 SELECT model, round(CASE WHEN total > 0 AND valid = 0 THEN 0.02 ELSE greatest(0.05, least(1, 1 - 0.9 * list_sum(p) / len(p))) END, 6) AS confidence FROM p""",
-    "audit_windows": f"WITH {_E}, t AS (SELECT window_, category, greatest(avg(error), 0.75 * max(error)) AS error FROM e WHERE model = 7 AND category IS NOT NULL AND error IS NOT NULL GROUP BY ALL), w AS (SELECT window_, round(max(error), 6) AS error FROM t GROUP BY ALL) SELECT window_ AS \"window\", error FROM w ORDER BY error DESC, window_ LIMIT 12",
     "feature_median_export": f"WITH {_F} SELECT feature, round(quantile_cont(value, 0.5), 5) AS median FROM f WHERE feature NOT LIKE 'parity%' GROUP BY ALL",
     "severity_dedupe": f"WITH RECURSIVE {_BASE}, {_greedy('c', 'x', 5, 36000.0, '>', 'picks')} SELECT stream, k, round(t, 6) AS t, round(value, 6) AS severity FROM picks",
     "worst_streams": f"""WITH RECURSIVE {_BASE}, {_Z}, {_RISK}, {_greedy('(SELECT stream, k, t, round(risk, 3) AS risk FROM risk WHERE round(risk, 3) > 0)', 'risk', 8, 36000.0, '>=', 'picks')}, {_UNIFORM},
@@ -172,7 +171,6 @@ SELECT *, row_number() OVER (ORDER BY score, stream) AS rank FROM r""",
     "defect_tear": _mid("CASE WHEN x < 4 THEN v ELSE w END"),
     "defect_fill": _mid("CASE WHEN x >= 6 THEN median(v) OVER (PARTITION BY frame) ELSE (v + w) / 2 END"),
     "histogram2d_exposure": f"WITH {_P}, {_N} SELECT floor(v * 10)::BIGINT AS a, floor(w * 10)::BIGINT AS b, count(*) AS n FROM n GROUP BY ALL",
-    "interleave": "SELECT vec_id AS frame, vec_id AS i, (label + CASE WHEN vec_id % 2 = 1 THEN 100 ELSE 0 END)::BIGINT AS label FROM embeddings",
     "dropped_frames": f"WITH {_S}, n AS (SELECT *, count(*) OVER (PARTITION BY stream) AS n FROM s) SELECT stream, k, row_number() OVER (PARTITION BY stream ORDER BY k) - 1 AS new_k FROM n WHERE k NOT IN (floor(n * 0.25), floor(n * 0.55), floor(n * 0.79))",
     "vfr_timestamps": f"WITH {_S} SELECT stream, k, round(coalesce(sum(CASE WHEN k % 2 = 0 THEN 1.0::DOUBLE / 112 ELSE 1.0::DOUBLE / 130 END) OVER (PARTITION BY stream ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) AS pts FROM s",
 }

@@ -217,12 +217,6 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("model", F.round(fusion.confidence(items), 6).alias("confidence"))
 
 
-@query
-def audit_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = fusion.trigger_errors(_errors(spark, sf_dir).where("model = 7"), ["window"]).groupBy("window").agg(F.round(F.max("error"), 6).alias("error"))
-    return fusion.audit_windows(t, 120)
-
-
 @query
 def feature_median_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _features(spark, sf_dir).where(~F.startswith("feature", F.lit("parity")))
@@ -323,14 +317,6 @@ def histogram2d_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy(F.floor(F.col("v") * 10).alias("a"), F.floor(F.col("w") * 10).alias("b")).agg(F.count("*").alias("n"))
 
 
-@query
-def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    even = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("frame"), (F.col("vec_id")).alias("i"), F.col("label").cast("long").alias("label"))
-    odd = e.where("vec_id % 2 = 1").select(F.col("vec_id").alias("frame"), F.col("vec_id").alias("i"), (F.col("label") + 100).cast("long").alias("label"))
-    return even.unionByName(odd)
-
-
 @query
 def dropped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames without those at 25, 55 and 79 % of a stream, renumbered."""

@@ -8,9 +8,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from frameloom.plans.oracle import ORACLE_SQL
+from frameloom.plans import oracle, scan_queries
 from frameloom.plans.queries import QUERIES
 
+ORACLE_SQL = {**oracle.ORACLE_SQL, **scan_queries.ORACLE_SQL}
+
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
