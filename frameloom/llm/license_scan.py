@@ -1,16 +1,18 @@
 """Licence scans: a trained paragraph classifier, confirmed by template comparison, in DataFrame functions only.
 
-Paragraphs are lines, and runs of several lines that aren't blank, joined by spaces (notices are wrapped). A multinomial logistic regression over sparse word n-grams (one and two words, lower case) names a licence
-family or "unknown"; it is trained on the driver from the templates below, cut and thinned variants of them, and counter
-examples, and its temperature is calibrated on variants it was not trained on. The weights of its features (bounded by the
-templates' n-grams) are broadcast, joined to the paragraphs' n-grams and summed. A prediction is confirmed if the family has a
-template of whose word pairs the paragraph holds ``MIN_SIMILARITY`` or more.
+Paragraphs are lines, and runs of several lines that aren't blank, joined by spaces (notices are wrapped). A multinomial logistic
+regression over sparse word n-grams (one and two words, lower case; n-grams of stop words alone aren't features) names a licence
+family or "unknown". It is trained on the driver from the templates below, cut and thinned variants of them, and counter examples:
+sentences with licence words, notices of other licences and of invented ones. Its temperature is calibrated, and the probability
+from which a family is named is set, on variants and names that it was not trained on. The weights of its features (bounded by
+the templates' n-grams) are broadcast, joined to the paragraphs' n-grams and summed. A prediction is confirmed if the family has
+a template of whose word pairs the paragraph holds ``MIN_SIMILARITY`` or more.
 
 A joined paragraph is a finding, at its first line, if it is confirmed and none of its lines is confirmed for the family; where a
-text has no blank lines it is the whole text. Paragraphs without any of the model's trigger words aren't scored: the weights of all features that hold
-none of them together cannot beat unknown, so the model would name none of these. Null and empty texts have no findings;
-texts are read whole; equal probabilities go to the family named first; repeated lines are findings each, rows of one id and text
-count once; an empty table gives an empty result; other columns are not looked at.
+text has no blank lines it is the whole text. Paragraphs without any of the model's trigger words aren't scored: the weights of
+all features that hold none of them together cannot beat unknown, so the model would name none of these. Null and empty texts
+have no findings; texts are read whole; equal probabilities go to the family named first; repeated lines are findings each, rows
+of one id and text count once; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import materialise, row_key, small
 MIN_SIMILARITY = 0.8
 #: Texts with findings up to which their places are broadcast.
 BROADCAST_ROWS = 400_000
-#: Common words of licence notices.
-CUES = "license licensed licence licenced licensing licensee licensor sublicense copyright copyrighted rights reserved warranty warranties redistribution redistribute permission gpl lgpl agpl gnu apache bsd mozilla mpl cc0 commons public proprietary confidential spdx unlicense isc".split()
+#: Words that say nothing by themselves; n-grams of them alone are no features.
+STOP = frozenset("a an and any are as at be been by can for from has have in is it may no not of on or other shall that the these this to under was which will with you your".split())
+#: Share of held-out notices of other licences that may pass for a family, and the least probability of a finding.
+FALSE_SHARE, LEAST_PROBABILITY = 0.01, 0.5
 #: Licence families and notices that are usual for them.
 TEMPLATES = {
     "mit": (
@@ -107,6 +111,11 @@ COUNTER = (
     "The car has a warranty of three years and any kind of conditions apply.",
     "They may use the file, modify the list and work with others in the project.",
 )
+#: How notices name a licence, and names of licences that are no family here; half of them are for calibration.
+NOTICES = ("Released under the {} License.", "This work is licensed under the {} Public License, version 2.", "Licensed under the {} License, Version 2.0.", "licensed under the {}", "SPDX-License-Identifier: {}-1.0", "This program is made available under the terms of the {} license.", "{} License")
+OTHERS = ("EUPL", "Eclipse", "Artistic", "European Union", "zlib", "Boost Software", "CDDL", "Open Software", "Academic Free", "Microsoft Reciprocal", "Python Software Foundation", "PostgreSQL", "OpenSSL", "SIL Open Font", "Common Development and Distribution", "Ruby", "PHP", "Vim", "Sleepycat", "Zope")
+#: Short names of the families, for the same notices.
+SHORT = {"mit": ("MIT",), "apache": ("Apache",), "gpl": ("GNU General Public", "GPL"), "lgpl": ("GNU Lesser General Public", "LGPL"), "bsd": ("BSD", "BSD 3-Clause"), "mpl": ("Mozilla Public", "MPL"), "cc-by": ("CC BY", "Creative Commons Attribution"), "cc-by-nc": ("CC BY-NC", "Creative Commons Attribution-NonCommercial")}
 UNKNOWN = "unknown"
 
 
@@ -114,8 +123,13 @@ def tokens(text: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
 
 
+def pairs(words: list[str]) -> set[str]:
+    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+
+
 def grams(words: list[str]) -> set[str]:
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+    """The features of a text: its words and word pairs that aren't of stop words alone."""
+    return {g for g in {*words, *pairs(words)} if not STOP.issuperset(g.split())}
 
 
 class LicenceModel:
@@ -135,6 +149,15 @@ class LicenceModel:
         for t in map(tokens, COUNTER):
             for k in range(variants):
                 texts.append(([w for w in t if rng.random() > 0.1], other, k % 4 != 0))
+        for j, name in enumerate(OTHERS):  # half of the names are seen in training
+            for notice in NOTICES:
+                texts += [(tokens(notice.format(name)), other, j % 2 == 0)] * 3
+        for family, short in SHORT.items():
+            for notice in NOTICES:
+                texts += [(tokens(notice.format(name)), self.classes.index(family), k != 0) for name in short for k in range(4)]
+        for k in range(variants * 20):  # names that no licence has
+            name = "".join(rng.choice(list("aeiou" "bcdfgklmnprstvz"), rng.integers(3, 9)))
+            texts.append((tokens(NOTICES[k % len(NOTICES)].format(name)), other, k % 4 != 0))
         for k in range(variants * 40):  # licence words in no order
             texts.append((list(rng.choice(pool, rng.integers(1, 12))), other, k % 4 != 0))
         names = sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(tokens(t))})
@@ -154,6 +177,8 @@ class LicenceModel:
         held = x[~train] @ self.weights + self.bias
         loss = lambda t: -np.log(np.maximum(self._softmax(held, t)[np.arange(len(held)), y[~train]], 1e-9)).mean()
         self.temperature = float(min(np.geomspace(0.1, 4, 60), key=loss))
+        other_held = self._softmax(held, self.temperature)[y[~train] == other][:, :-1].max(axis=1)
+        self.threshold = round(max(LEAST_PROBABILITY, float(np.quantile(other_held, 1 - FALSE_SHARE))), 6)
         self.weights = np.round(self.weights.astype(np.float64), 6)
         self.bias = np.round(self.bias.astype(np.float64), 6)
 
@@ -183,9 +208,11 @@ class LicenceModel:
         return sorted(set(of_word) - quiet)
 
     def predict(self, text: str) -> tuple[str, float]:
+        """The family, or "unknown" if none reaches the threshold, and the likeliest class's probability."""
         rows = [self.features[g] for g in grams(tokens(text)) if g in self.features]
         p = self._softmax((self.weights[rows].sum(axis=0) + self.bias)[None], self.temperature)[0]
-        return self.classes[int(p.argmax())], float(p.max())
+        found = self.classes[int(p.argmax())]
+        return (found if p.max() >= self.threshold else UNKNOWN), float(p.max())
 
 
 def _words(text: Column) -> Column:
@@ -225,9 +252,9 @@ def scan_licences(docs: DataFrame, id: str = "doc_id", text: str = "text", model
     family = F.lit(UNKNOWN)
     for c, name in reversed(list(zip(columns, model.classes, strict=True))):
         family = F.when(F.col(c) == best, F.lit(name)).otherwise(family)
-    named = sums.select(*keys, family.alias("family"), F.round(1 / scale, 6).alias("probability")).where(F.col("family") != UNKNOWN)
+    named = sums.select(*keys, family.alias("family"), F.round(1 / scale, 6).alias("probability")).where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.threshold))
     named = materialise(named, "licence-named")
-    shapes = [(f, sorted(grams(tokens(t)) - set(tokens(t)))) for f, ts in TEMPLATES.items() for t in ts]
+    shapes = [(f, sorted(pairs(tokens(t)))) for f, ts in TEMPLATES.items() for t in ts]
     of_family = F.create_map(*(x for f in TEMPLATES for x in (F.lit(f), F.array(*(F.array(*map(F.lit, p)) for g, p in shapes if g == f)))))
     # Only the texts with a named paragraph are cut again, each once.
     places = named.groupBy("id_", "key_").agg(F.collect_list(F.struct("no_", "last_", "family", "probability")).alias("places"))
