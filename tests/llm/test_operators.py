@@ -690,14 +690,18 @@ def test_licences(spark, edge_docs, no_docs):
     docs = spark.createDataFrame(rows([(k, f"some text\n{x}\nmore") for k, x in enumerate(lines)] + [(500, None), (0, f"some text\n{lines[0]}\nmore")]), SCHEMA)
     found = license_scan.scan_licences(docs, model=model).collect()
     want = {}
-    cue = re.compile(rf"(?i)(?<![a-z0-9])(?:{'|'.join(license_scan.CUES)})(?![a-z0-9])")
     for k, x in enumerate(lines):
         family, p = model.predict(x)
-        if cue.search(x) and family != license_scan.UNKNOWN:
+        if family != license_scan.UNKNOWN:
             want[k] = (1, family, p)
     assert {r.doc_id: (r.line_no, r.family) for r in found} == {k: v[:2] for k, v in want.items()} and len(found) == len(want)
     assert all(abs(r.probability - want[r.doc_id][2]) < 1e-4 for r in found)
     assert all(r.confirmed for r in found if r.doc_id < len(lines) - 4 - len(license_scan.COUNTER))
+    for r in found:
+        w = re.findall("[a-z0-9]+", r.line.lower())
+        held = [set(zip(t, t[1:], strict=False)) for t in (re.findall("[a-z0-9]+", t.lower()) for t in license_scan.TEMPLATES[r.family])]
+        similarity = max(len(h & set(zip(w, w[1:], strict=False))) / len(h) for h in held)
+        assert abs(r.similarity - similarity) < 1e-5 and r.confirmed == (r.similarity >= license_scan.MIN_SIMILARITY)
     assert license_scan.scan_licences(edge_docs, model=model).count() == 0 and license_scan.scan_licences(no_docs, model=model).count() == 0
 
 
@@ -713,6 +717,14 @@ def test_licences_without_cues_and_wrapped(spark):
     assert want[0] == "cc-by"
 
 
+def test_other_licences_are_unknown():
+    model = license_scan.LicenceModel()
+    for notice in ("licensed under the EUPL", "Artistic License", "Eclipse Public License", "Licensed under the Artistic License 2.0", "Released under the Zimbra License.", "SPDX-License-Identifier: QPL-1.0"):
+        assert model.predict(notice)[0] == license_scan.UNKNOWN
+    for notice, family in {"MIT License": "mit", "Apache License 2.0": "apache", "GNU General Public License v3": "gpl", "Mozilla Public License": "mpl", "CC BY-SA 4.0": "cc-by"}.items():
+        assert model.predict(notice)[0] == family
+
+
 def test_no_named_text_lacks_a_trigger():
     model, rng = license_scan.LicenceModel(), random.Random(2)
     names, triggers = sorted({w for g in model.features for w in g.split()}), set(model.triggers())
