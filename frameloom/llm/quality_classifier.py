@@ -8,7 +8,7 @@ compared with all of them by exact blocked cosine products, and the nearest ones
 The labelled sample takes up to ``PER_CLASS`` rows of each label, by the order of a hash of the id, and only ids whose
 crc32 modulo ``FOLDS`` isn't 0; votes are weighted back to the labels' frequencies. Ids, languages, sources and labels are no
 inputs of a score. Null and empty texts have no terms; they and texts unlike all neighbours get the labelled share of 1.
-Whole texts are read. Labels that are null are left out, and without labelled rows of both kinds every score is the share of 1
+Whole texts are read. Labels that are null and ids with both labels are left out, of a labelled id's texts the least is taken, and without labelled rows of both kinds every score is the share of 1
 (0.5 if there is none). Repeated rows get equal results; an empty table gives an empty result; other columns are not looked at.
 """
 
@@ -36,7 +36,7 @@ class _Terms(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        shape = _RUNS.sub(rb"\1", word[:64].translate(_SHAPE))
+        shape = _RUNS.sub(rb"\1", word.translate(_SHAPE))
         half = TERMS // 2
         found = 8 + xxhash.xxh32_intdigest(shape, 1) % (half - 8), half + xxhash.xxh32_intdigest(word, 2) % half
         if len(word) <= 64:
@@ -100,7 +100,8 @@ def held_out(id):
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Voter:
     """The model of the labelled rows in ``docs``; at most ``2 * per_class`` term vectors come to the driver."""
-    known = labels.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i"))).dropDuplicates(["i"])
+    known = labels.select(F.col(id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i")))
+    known = known.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
     shares = {r["y"]: float(r["n"]) for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y in (0, 1):
@@ -113,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             rows = [term_vector(t, terms).astype(np.float16).tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["i", "y", "x"])
 
-    sample = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "i").dropDuplicates(["i"]).select("i", "y", "t")
+    sample = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("t").alias("t"))
     kind = docs.schema[id].dataType.simpleString()
     rows = sample.mapInArrow(vectors, f"i {kind}, y int, x binary").orderBy("i").collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(-1, TERMS)

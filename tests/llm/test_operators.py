@@ -625,6 +625,42 @@ def test_components(spark):
 # quality classifier
 
 
+def test_votes_by_brute_force():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["word", "Word", "123", "a-b", "x", "yy"]) for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    labels = np.array([k % 3 == 0 for k in range(40)], np.int64)
+    known = quality_classifier._Terms()
+    x = np.array([quality_classifier.term_vector(t, known) for t in texts])
+    model = quality_classifier.Voter(x[:40], labels, {0: 90.0, 1: 10.0}, rank=6, neighbours=7)
+
+    def place(row):
+        v = (row * model.idf) @ model.basis
+        return v / max(math.sqrt(sum(float(a) ** 2 for a in v)), 1e-9)
+
+    # The space keeps as much of the labelled vectors as the best one of its rank.
+    labelled = x[:40] * model.idf
+    labelled /= np.maximum(np.linalg.norm(labelled, axis=1, keepdims=True), 1e-9)
+    best = np.linalg.svd(labelled, compute_uv=False)
+    assert np.linalg.norm(labelled @ model.basis) ** 2 >= 0.999 * float((best[:6] ** 2).sum())
+    weight = {0: 90 / int((labels == 0).sum()), 1: 10 / int((labels == 1).sum())}
+    for row, score in zip(x[40:], model.score(x[40:]), strict=True):
+        near = sorted(((float(place(row) @ place(o)), k) for k, o in enumerate(x[:40])), reverse=True)[:7]
+        votes = [(max(c, 0.0) ** 8 * weight[labels[k]], labels[k]) for c, k in near]
+        pinch = 1e-3 * (sum(weight[y] for y in labels) / 40)
+        want = (sum(v for v, y in votes if y) + pinch * 0.1) / (sum(v for v, _ in votes) + pinch)
+        assert abs(score - want) < 1e-3
+
+
+def test_labels_that_disagree_and_ids_with_two_texts(spark):
+    texts = [(i, "good words here " * 9 if i % 2 else "BAD!!! 123 $$$ " * 9) for i in range(40)]
+    labels = [(i, i % 2) for i in range(40)]
+    docs = spark.createDataFrame(rows(texts + [(3, "another text of 3"), (5, None)]), SCHEMA)
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, quality int")
+    first = quality_classifier.fit(docs, frame(labels + [(1, 0), (2, 1), (4, None)]))
+    again = quality_classifier.fit(docs.orderBy(F.desc("text")), frame([(4, None), (2, 1), (1, 0), *reversed(labels)]))
+    assert np.array_equal(first.vectors, again.vectors) and np.array_equal(first.labels, again.labels)
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     texts = []
