@@ -209,11 +209,24 @@ def edge_structure(ends: tuple[np.ndarray, np.ndarray], mid: np.ndarray, f01: np
     return {"recall": float((to_found[wanted] <= 2).mean()), "precision": float((gap <= 2).mean()), "ghost": float(((gap > 2) & (gap <= 4)).mean()), "chamfer": float(to_found[wanted].mean())}
 
 
+def shrink(image: np.ndarray, size: int) -> np.ndarray:
+    """Means of ``size`` x ``size`` blocks, as equal as whole pixels allow; smaller images repeat pixels."""
+
+    def sums(x: np.ndarray, axis: int) -> np.ndarray:
+        n = x.shape[axis]
+        at = np.linspace(0, n, size + 1).astype(int)
+        first, last = np.minimum(at[:-1], n - 1), np.maximum(at[1:], np.minimum(at[:-1], n - 1) + 1)
+        total = np.concatenate((np.zeros_like(x.take([0], axis)), np.cumsum(x, axis=axis)), axis=axis)
+        shape = [1, 1]
+        shape[axis] = size
+        return (total.take(last, axis) - total.take(first, axis)) / (last - first).reshape(shape)
+
+    return sums(sums(image, 0), 1)
+
+
 def phash(image: np.ndarray) -> int:
     """63 bits of the low cosine frequencies against their median (the lowest of 64 is dropped)."""
-    h, w = image.shape
-    rows, cols = np.linspace(0, h, 33).astype(int), np.linspace(0, w, 33).astype(int)
-    small = np.stack([[image[a : max(b, a + 1), c : max(d, c + 1)].mean() for c, d in zip(cols, cols[1:], strict=False)] for a, b in zip(rows, rows[1:], strict=False)])
+    small = shrink(image, 32)
     k = np.arange(32)
     basis = np.cos(np.pi * (2 * k[None] + 1) * np.arange(8)[:, None] / 64)
     low = basis @ small @ basis.T

@@ -56,12 +56,17 @@ def frame_scan(frames: DataFrame, width: int = WIDTH) -> DataFrame:
     half = width * width // 2
     ordered = F.sort_array("a")
     bits = F.expr(f"aggregate(sequence(0, {width * width - 1}), 0L, (h, i) -> h | IF(a[i] > middle, shiftleft(1L, i), 0L))")
-    w = Window.partitionBy("stream").orderBy("k")
     own = frames.withColumn("grad", grad).withColumn("middle", (F.get(ordered, F.lit(half - 1)) + F.get(ordered, F.lit(half))) / 2)
     own = own.select(
         "stream", "k", "t", "a", _mean(F.col("a")).alias("luma_mean"), F.sqrt(_variance(F.col("a"))).alias("luma_std"), _variance(lap).alias("sharpness"), _mean(F.col("grad")).alias("grad_energy"),
         (F.size(F.filter("grad", lambda g: g > EDGE)) / F.size("grad")).alias("edge_frac"), bits.alias("hash"), histogram(F.col("a"), BINS).alias("hist"), histogram(F.col("a"), CUT_BINS).alias("hist16"),
     )
+    return with_steps(own)
+
+
+def with_steps(own: DataFrame) -> DataFrame:
+    """The scan's table from frames' own statistics and their values ``a``, bits ``hash``, and histograms ``hist`` and ``hist16``."""
+    w = Window.partitionBy("stream").orderBy("k")
     last = own.withColumns({f"last_{c}": F.lag(c).over(w) for c in ("a", "hash", "hist", "hist16")})
     step = lambda x: F.coalesce(x, F.lit(0.0))
     return last.select(

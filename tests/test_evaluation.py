@@ -7,6 +7,8 @@ import json
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from frameloom import report
 from frameloom.operators import kernels
 from frameloom.operators.calibrate import MonotonicCalibrator
@@ -67,10 +69,57 @@ def test_defects_show_in_their_features():
 
 
 def test_good_candidate_wins(spark):
-    rows = {r.model: r for r in evaluate.evaluate(evaluate.candidates(spark, frames=40)).collect()}
+    frames = evaluate.candidates(spark, frames=40).persist()
+    rows = {r.model: r for r in evaluate.evaluate(frames).collect()}
     assert rows["good"].rank == 1 and all(rows[k].overall < rows["good"].overall - 3 for k in ("freeze", "blur", "ghost"))
+    assert all(r.status == "ok" and 0.05 <= r.confidence <= 1 for r in rows.values())
     with pytest.raises(ValueError, match="unknown preset"):
-        evaluate.choose_windows(None, "no such")
+        evaluate.evaluate(frames, "no such")
+
+
+def test_evaluation_against_a_source(spark):
+    frames = evaluate.candidates(spark, frames=48).persist()
+    source = frames.where("model = 'good' AND k % 2 = 0").select((F.col("k") / 2).cast("long").alias("k"), "t", "h", "w", "luma")
+    late = frames.where("model = 'good'").select(F.lit("late").alias("model"), (F.col("k") + 1).alias("k"), "t", "h", "w", "luma").where("k < 48")
+    late = late.withColumn("t", F.col("k") / 120.0)
+    found = evaluate.evaluation(frames.unionByName(late), source)
+    aligned = {r.stream: r for r in found.alignment.collect()}
+    assert all(r.off == 0 and abs(r.ratio - 2) < 0.1 and r.warnings == "" for r in aligned.values())
+    features = {(r.model, r.feature): r.value for r in found.features.where("window IS NULL").collect()}
+    assert features["good", "anchor_y_l1_p90"] == 0 and features["late", "anchor_y_l1_p90"] > 3 and features["late", "anchor_shift_better_frac"] > 0
+    assert features["blur", "parity_sharp_mean_gap"] > features["good", "parity_sharp_mean_gap"]
+    rows = {r.model: r for r in found.ranking.collect()}
+    assert rows["good"].rank == 1 and rows["late"].overall < rows["good"].overall
+    assert {r.source for r in found.windows.collect()} <= {"uniform", "risk", "uniform+risk"}
+    worst = found.worst.collect()
+    labels = {m: {x for r in worst if r.model == m for x in r.labels} for m in rows}
+    assert "freeze_copy" in labels["freeze"] and "freeze_copy" not in labels["good"]
+    assert all(0 < r.severity <= 1 and 1 <= len(r.labels) <= 4 and r.start <= r.end for r in worst)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from frameloom import cli
+
+    frames = evaluate.candidates(spark, frames=32).persist()
+    frames.where("model = 'good'").drop("model").write.parquet(str(tmp_path / "one.parquet"))
+    frames.where("model = 'freeze'").write.parquet(str(tmp_path / "two.parquet"))
+    frames.where("model = 'good' AND k % 2 = 0").drop("model").withColumn("k", (F.col("k") / 2).cast("long")).write.parquet(str(tmp_path / "source.parquet"))
+    paths = ["--candidate", str(tmp_path / "one.parquet"), str(tmp_path / "two.parquet"), "--source", str(tmp_path / "source.parquet"), "--out", str(tmp_path / "out")]
+    assert cli.main(["compare", *paths]) == 0
+    ranking = json.loads((tmp_path / "out/ranking.json").read_text())["ranking"]
+    assert [r["model"] for r in ranking] == ["one", "freeze"]
+    assert cli.main(["evaluate", *paths, "--labels", "a", "b"]) == 0
+    found = json.loads((tmp_path / "out/b/report.json").read_text())
+    assert found["overall"] < 100 and any("freeze_copy" in w["type"] for w in found["worst_windows"]) and "comp_mean" in found["features"]
+    assert (tmp_path / "out/a/timeline.md").read_text().startswith("| centre")
+    with pytest.raises(SystemExit):
+        cli.main(["compare", *paths, "--labels", "a"])
+
+
+def test_evaluation_without_windows_fails_closed(spark):
+    frames = evaluate.candidates(spark, frames=3).where("model = 'good'")
+    row = evaluate.evaluate(frames).collect()[0]
+    assert row.overall is None and row.status == "failed"
 
 
 def test_streaming_matches_batch(spark, tmp_path):
