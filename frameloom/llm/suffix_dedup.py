@@ -4,13 +4,17 @@ Of a text's suffixes only those at minimiser positions are retained: in every ru
 grams the one with the least hash. Equal passages of ``MIN_WORDS`` words choose the same position within their first ``SPREAD``
 words, so their suffixes agree in ``MIN_WORDS - SPREAD + 1`` words from there on. Suffixes are sorted by a fingerprint of that
 stretch and compared with their neighbours (first within a partition, so that a very common passage shrinks to one row each,
-then over all); those without an equal neighbour are done. From the others matches are extended to the left and right: every
-window of ``MIN_WORDS`` words that chose the position is fingerprinted, windows found in two rows are repeats, and neighbouring
-repeats join to maximal spans. No pairs of occurrences are made, and nothing depends on how often a passage occurs.
+then over all); those without an equal neighbour are done.
 
-Fingerprints have 64 bits and are compared without the texts. Null texts and texts of fewer words have no spans; texts are read
-whole; rows of one id and text are one row, as are ties; passages that repeat only within one row don't count; an empty table
-gives an empty result; other columns are not looked at.
+Each of the others is one row, with its context: the words that all windows of ``MIN_WORDS`` words that chose the position
+cover, to its left and right. Suffixes with equal contexts are extended as one: only different contexts of a suffix are taken
+apart into windows, and a window that stands in two contexts, or in a context that occurs twice, is a repeat. A context's
+repeated windows are intervals, which go back to its occurrences and join to maximal spans. No pairs of occurrences are made.
+
+Fingerprints have 64 bits. Windows are compared among those of one suffix only, so a false match needs two stretches of words
+that agree in the suffix and collide in the rest, or collide in both. Null texts and texts of fewer words have no spans; texts are
+read whole; rows of one id and text are one row, as are ties; an empty table gives an empty result; other columns are not looked
+at.
 """
 
 from __future__ import annotations
@@ -20,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialise, row_key, small
 
 MIN_WORDS, SPREAD, GRAM = 50, 24, 8
-#: Repeated suffix fingerprints (8 bytes each), and repeated windows (three longs each), up to which they are sent to all
-#: executors; beyond it they are joined.
-BROADCAST_SUFFIXES, BROADCAST_WINDOWS = 2_000_000, 500_000
+#: Repeated suffix fingerprints (8 bytes each), and contexts with their intervals (some 100 bytes each), up to which they are sent
+#: to all executors; beyond it they are joined.
+BROADCAST_SUFFIXES, BROADCAST_CONTEXTS = 2_000_000, 200_000
 #: Characters whose words are worked on at once, and words whose hashes a worker keeps.
 BLOCK, KNOWN_WORDS = 1 << 20, 200_000
 _BASE = 0x9E3779B97F4A7C15
@@ -54,7 +58,7 @@ class Rolling:
         up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:n], dtype=np.uint64)))
 
-    def at(self, starts: np.ndarray, size: int) -> np.ndarray:
+    def at(self, starts: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         x = (self.sums[starts + size] - self.sums[starts]) * self.down[starts]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
@@ -92,12 +96,17 @@ class Block:
         else:
             self.chosen = self.window
 
+        #: The first window of each run of windows that chose one position, and the windows in it.
+        self.runs = np.flatnonzero(np.diff(self.chosen, prepend=-1))
+        self.sizes = np.diff(np.append(self.runs, len(self.chosen)))
+
     def suffixes(self) -> np.ndarray:
-        """The fingerprint of the suffix that each window chose."""
-        return self.roll.at(self.chosen, self.min_words - SPREAD + 1)
+        """The fingerprint of each run's suffix."""
+        return self.roll.at(self.chosen[self.runs], self.min_words - SPREAD + 1).view(np.int64)
 
-    def prints(self, which: np.ndarray) -> np.ndarray:
-        return self.roll.at(self.window[which], self.min_words)
+    def contexts(self) -> np.ndarray:
+        """The fingerprint of the words that each run's windows cover."""
+        return self.roll.at(self.window[self.runs], self.sizes - 1 + self.min_words).view(np.int64)
 
 
 def _blocks(texts: list[str | None], known: _Hashes, min_words: int) -> Iterator[tuple[int, Block]]:
@@ -123,14 +132,13 @@ def repeated_suffixes(docs: DataFrame, text: str, min_words: int) -> DataFrame:
 
         def sorted_run() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(found), return_counts=True)  # sorts and compares neighbours
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(counts, 2).astype(np.int32))], ["suffix", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(counts, 2).astype(np.int32))], ["suffix", "n"])
 
         for batch in batches:
             for _, block in _blocks(batch.column(0).to_pylist(), known, min_words):
-                new = np.flatnonzero(np.diff(block.chosen, prepend=-1))
-                if len(new):
-                    found.append(block.roll.at(block.chosen[new], min_words - SPREAD + 1))
-                    size += len(new)
+                if len(block.runs):
+                    found.append(block.suffixes())
+                    size += len(block.runs)
                 if size > 1 << 20:
                     yield sorted_run()
                     found, size = [], 0
@@ -141,87 +149,84 @@ def repeated_suffixes(docs: DataFrame, text: str, min_words: int) -> DataFrame:
     return runs.groupBy("suffix").agg(F.sum("n").alias("n")).where("n > 1").select("suffix")
 
 
-def _windows_schema(kind: str) -> str:
-    return f"id_ {kind}, key_ long, start int, print long"
+def _interval(x: Column) -> Column:
+    return F.struct(x["j"].alias("from"), x["j"].alias("to"), x["first_id"].alias("first_id"), x["copies"].alias("copies"), x["across"].alias("across"))
+
+
+def _intervals(windows: Column) -> Column:
+    """Neighbouring windows (ordered structs of j, first_id, copies, across) as intervals."""
+
+    def add(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["from"].alias("from"), x["j"].alias("to"), F.least(last["first_id"], x["first_id"]).alias("first_id"), F.greatest(last["copies"], x["copies"]).alias("copies"), (last["across"] | x["across"]).alias("across"))
+        joins = F.coalesce(last["to"] + 1 == x["j"], F.lit(False))
+        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(_interval(x))))
+
+    return F.aggregate(windows, F.slice(F.transform(windows, _interval), 1, 0), add)
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, broadcast_suffixes: int = BROADCAST_SUFFIXES) -> DataFrame:
     """``id, start, n_words`` of every maximal stretch of words (counted from 0, between white space) whose windows of
-    ``min_words`` words all occur in another row too, with ``first_id``, the least id that holds one of the windows, and
-    ``copies``, the most occurrences of one of them."""
+    ``min_words`` words all occur elsewhere too, in another row or in this one; with ``first_id``, the least id that holds one of
+    the windows, ``copies``, the most occurrences of one of them, and ``across``, whether another row has one."""
     _check(min_words)
     kind = docs.schema[id].dataType.simpleString()
     plain = docs.select(F.col(id).alias("id_"), row_key(F.col(text).cast("string")).alias("key_"), F.col(text).cast("string").alias("text_"))
     repeated = materialise(repeated_suffixes(plain, "text_", min_words), "suffixes")
-    columns = ["id_", "key_", "start", "print"]
-
-    def windows(batch: pa.RecordBatch, known: _Hashes, keep) -> Iterator[pa.RecordBatch]:
-        for begin, block in _blocks(batch.column(2).to_pylist(), known, min_words):
-            if len(block.window) and len(which := np.flatnonzero(keep(block, begin))):
-                rows = pa.array(block.doc[which] + begin)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(block.local[which].astype(np.int32)), pa.array(block.prints(which).view(np.int64))], columns)
-
-    if repeated.count() <= broadcast_suffixes:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(repeated.toArrow()["suffix"].to_numpy().astype(np.int64)))
-
-        def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, values = _Hashes(), shared.value
-
-            def keep(block: Block, begin: int) -> np.ndarray:
-                new = np.flatnonzero(np.diff(block.chosen, prepend=-1))
-                mine = block.roll.at(block.chosen[new], min_words - SPREAD + 1).view(np.int64)
-                found = values[np.minimum(np.searchsorted(values, mine), len(values) - 1)] == mine if len(values) else np.zeros(len(mine), bool)
-                return np.repeat(found, np.diff(np.append(new, len(block.chosen))))
-
-            for batch in batches:
-                yield from windows(batch, known, keep)
-
-        found = plain.mapInArrow(extend, _windows_schema(kind))
-    else:
-
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _Hashes()
-            for batch in batches:
-                for begin, block in _blocks(batch.column(2).to_pylist(), known, min_words):
-                    new = np.flatnonzero(np.diff(block.chosen, prepend=-1))
-                    rows = pa.array(block.doc[new] + begin)
-                    suffix = block.roll.at(block.chosen[new], min_words - SPREAD + 1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(suffix)], ["id_", "key_", "suffix"])
-
-        held = plain.mapInArrow(places, f"id_ {kind}, key_ long, suffix long").join(repeated, "suffix", "left_semi")
-        held = held.groupBy("id_", "key_").agg(F.collect_set("suffix").alias("held")).withColumnsRenamed({"id_": "i", "key_": "k"})
-        with_held = plain.join(held, F.col("id_").eqNullSafe(F.col("i")) & (F.col("key_") == F.col("k"))).select("id_", "key_", "text_", "held")
-
-        def extend_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = _Hashes()
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    one = batch.slice(k, 1)
-                    mine = one.column(3)[0].values.to_numpy(zero_copy_only=False)
-                    yield from windows(one, known, lambda block, begin, mine=mine: np.isin(block.suffixes().view(np.int64), mine))
-
-        found = with_held.mapInArrow(extend_joined, _windows_schema(kind))
-    found = materialise(found, "windows")
+    few = repeated.count() <= broadcast_suffixes
+    values = np.sort(repeated.toArrow()["suffix"].to_numpy().astype(np.int64)) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast(values) if few else None
+    columns = ["id_", "key_", "start", "n", "suffix", "context", "prints"]
+
+    def retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, wanted = _Hashes(), shared.value if shared is not None else None
+        for batch in batches:
+            for begin, block in _blocks(batch.column(2).to_pylist(), known, min_words):
+                suffix = block.suffixes() if len(block.runs) else np.zeros(0, np.int64)
+                keep = np.arange(len(suffix))
+                if wanted is not None:
+                    keep = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, suffix), len(wanted) - 1)] == suffix) if len(wanted) else keep[:0]
+                if not len(keep):
+                    continue
+                first, n = block.runs[keep], block.sizes[keep]
+                inside = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+                prints = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(block.roll.at(block.window[inside], min_words).view(np.int64)))
+                rows = pa.array(block.doc[first] + begin)
+                own = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(block.local[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(suffix[keep]), pa.array(block.contexts()[keep]), prints]
+                yield pa.RecordBatch.from_arrays(own, columns)
+
+    found = plain.mapInArrow(retained, f"id_ {kind}, key_ long, start int, n int, suffix long, context long, prints array<long>")
+    if not few:
+        found = found.join(repeated, "suffix", "left_semi")
+    found = materialise(found, "matches")
     row = F.xxhash64("id_", "key_")
-    rows = found.groupBy("print").agg(F.min(row).alias("a"), F.max(row).alias("b"), F.min("id_").alias("first_id"), F.count("*").alias("copies"))
-    # Written, so that the join is a broadcast of a checked size or a plain one, which Spark splits at very common windows.
-    twice = materialise(rows.where("a <> b").select("print", "first_id", "copies"), "repeated-windows")
-    hits = found.join(small(twice, BROADCAST_WINDOWS)[0], "print").groupBy("id_", "key_").agg(F.sort_array(F.collect_set(F.struct("start", "first_id", "copies"))).alias("w"))
+    key = ["suffix", "context", "n"]
+    contexts = found.groupBy(*key).agg(F.count("*").alias("copies"), F.min(row).alias("a"), F.max(row).alias("b"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("id_").alias("first_id"), F.first("prints").alias("prints"))
+    contexts = materialise(contexts, "contexts")
+    windows = contexts.select(*key, "copies", "a", "b", "s0", "s1", "first_id", F.posexplode("prints").alias("j", "print"))
+    windows = windows.withColumn("s0", F.col("s0") + F.col("j")).withColumn("s1", F.col("s1") + F.col("j"))
+    twice = windows.groupBy("suffix", "print").agg(F.sum("copies").alias("copies"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("first_id").alias("first_id"))
+    twice = twice.where("a <> b OR s0 <> s1").select("suffix", "print", "copies", "first_id", (F.col("a") != F.col("b")).alias("across"))
+    held = windows.select(*key, "j", "print").join(twice, ["suffix", "print"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("j", "first_id", "copies", "across"))).alias("w"))
+    # Written, so that the join is a broadcast of a checked size or a plain one, which Spark splits at very common contexts.
+    held = materialise(held.select(*key, _intervals(F.col("w")).alias("x")), "intervals")
+    hits = found.drop("prints").join(small(held, BROADCAST_CONTEXTS)[0], key).select("id_", "key_", "start", F.explode("x").alias("x"))
+    hits = hits.select("id_", "key_", F.struct((F.col("start") + F.col("x.from")).alias("from"), (F.col("start") + F.col("x.to")).alias("to"), "x.first_id", "x.copies", "x.across").alias("x"))
+    hits = hits.groupBy("id_", "key_").agg(F.sort_array(F.collect_set("x")).alias("x"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, start, size, first, copies = [], [], [], [], []
+            rows, out = [], []
             for k in range(batch.num_rows):
-                w = batch.column(1)[k].values
-                at, many = w.field("start").to_numpy(), w.field("copies").to_numpy()
-                names = w.field("first_id").to_pylist()
-                cuts = np.flatnonzero(np.diff(at, prepend=at[0] - 2) > 1).tolist() + [len(at)]
+                x = batch.column(1)[k].values
+                begin, end, many = (x.field(f).to_numpy() for f in ("from", "to", "copies"))
+                names, across = x.field("first_id").to_pylist(), x.field("across").to_numpy(zero_copy_only=False)
+                reach = np.maximum.accumulate(end)
+                cuts = [0, *(np.flatnonzero(begin[1:] > reach[:-1] + 1) + 1).tolist(), len(begin)]
                 for i, j in zip(cuts, cuts[1:], strict=False):
                     rows.append(k)
-                    start.append(int(at[i]))
-                    size.append(int(at[j - 1] - at[i]) + min_words)
-                    first.append(min((x for x in names[i:j] if x is not None), default=None))
-                    copies.append(int(many[i:j].max()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(first, batch.schema.field(0).type), pa.array(copies, pa.int64())], [id, "start", "n_words", "first_id", "copies"])
+                    out.append((int(begin[i]), int(reach[j - 1] - begin[i]) + min_words, min((n for n in names[i:j] if n is not None), default=None), int(many[i:j].max()), bool(across[i:j].any())))
+            start, size, first, copies, other = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(first, batch.schema.field(0).type), pa.array(copies, pa.int64()), pa.array(other, pa.bool_())], [id, "start", "n_words", "first_id", "copies", "across"])
 
-    return hits.select("id_", "w").mapInArrow(spans, f"`{id}` {kind}, start long, n_words long, first_id {kind}, copies long")
+    return hits.select("id_", "x").mapInArrow(spans, f"`{id}` {kind}, start long, n_words long, first_id {kind}, copies long, across boolean")

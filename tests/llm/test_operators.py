@@ -420,26 +420,31 @@ def test_banded_distance(spark):
 @pytest.mark.parametrize("limit", [suffix_dedup.BROADCAST_SUFFIXES, 0])
 def test_repeated_spans(spark, corpus, edge_docs, no_docs, limit):
     assert got(suffix_dedup.repeated_spans(no_docs, broadcast_suffixes=limit)) == []
-    for docs in (corpus, edge_docs):
+    rng = random.Random(17)
+    passage, other = words(rng, 60), words(rng, 75)
+    inside = [(0, [*passage, "x", *words(rng, 30), *passage]), (1, other), (2, [*words(rng, 20), *other[:58], "end"]), (3, ["a"] * 130), (4, [*other[10:], *other[:70]]), (5, ["b"] * 50)]
+    inside = spark.createDataFrame(rows([(i, " ".join(w)) for i, w in inside]), SCHEMA)
+    for docs in (corpus, edge_docs, inside):
         rows_ = {(r.doc_id, r.text) for r in docs.collect()}
-        seen, count = defaultdict(set), Counter()
+        places, count = defaultdict(set), Counter()
         for r in docs.collect():
             w = (r.text or "").split()
             for s in range(len(w) - 49):
-                seen[tuple(w[s : s + 50])].add((r.doc_id, r.text))
+                places[tuple(w[s : s + 50])].add((r.doc_id, r.text, s))
                 count[tuple(w[s : s + 50])] += 1
         want = set()
         for i, t in rows_:
             w = (t or "").split()
-            hit = [s for s in range(len(w) - 49) if len(seen[tuple(w[s : s + 50])]) > 1]
+            hit = {s for s in range(len(w) - 49) if len(places[tuple(w[s : s + 50])]) > 1}
             for s in [s for s in hit if s - 1 not in hit]:
                 e = s
                 while e + 1 in hit:
                     e += 1
                 windows = [tuple(w[k : k + 50]) for k in range(s, e + 1)]
-                want.add((i, s, e - s + 50, max(count[g] for g in windows)))
+                least = min((p[0] for g in windows for p in places[g] if p[0] is not None), default=None)
+                want.add((i, s, e - s + 50, least, max(count[g] for g in windows), any(len({p[:2] for p in places[g]}) > 1 for g in windows)))
         found = got(suffix_dedup.repeated_spans(docs, broadcast_suffixes=limit))
-        assert {(r[0], r[1], r[2], r[4]) for r in found} == want and len(found) == len(want)
+        assert set(found) == want and len(found) == len(want)
 
 
 # decontamination
