@@ -8,18 +8,75 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.stats import clip, nan_to_null, subscore, tail
 
-#: The feature registry. category: "feature kind parameters" (fwd scale; inv reference width; ratio deviation).
-REGISTRY = {
-    "motion": "comp_mean fwd 0.18; comp_p90_max fwd 0.45; comp_leg_ratio fwd 0.25; comp_fwd_p90 fwd 0.45; comp_bwd_p90 fwd 0.45; flow_fold_frac fwd 0.1; flow_jdet_low_frac fwd 0.2; comp_occ_region_mean fwd 0.5",
-    "temporal": "mct_lag1_mean fwd 30.0; mct_lag1_p90 fwd 45.0; mct_anchor_vs_gen_ratio fwd 1.5; cycle_resid_mean fwd 35.0; cycle_resid_p90 fwd 100.0; cycle_sharp_loss fwd 0.3; freeze_copy_score fwd 0.5; parity_window_sharp_gap fwd 0.25; parity_lag2_gen_vs_anchor fwd 1.5; parity_sharp_e_pi_block_max fwd 0.5; parity_sharp_mean_gap fwd 0.45; edge_count_odd_even_ratio ratio 0.35; gtq_sharp_odd_even_ratio ratio 0.25",
-    "structure": "edge_recall inv 0.75 0.45; edge_precision inv 0.9 0.3; edge_inst_recall_med inv 0.3 0.35; edge_inst_recall_p10 inv 0.15 0.35; edge_chamfer_sup_to_em fwd 6.0; edge_ghost_frac fwd 0.2",
-    "character": "char_missing_frac fwd 0.45; char_extra_frac fwd 0.3; char_chamfer fwd 150.0; char_components_delta fwd 3.0; char_leak_mean inv 10.0 10.0; char_ring_edge_frac fwd 0.35",
-    "thin_weapon": "thin_layer_err fwd 0.5; thin_inst_err_p90 fwd 0.7; thin_attrib_fail_frac fwd 0.3; thin_count_odd_even_ratio ratio 0.45; weapon_dev_p90 fwd 0.6; weapon_dir_change_p90 fwd 1.0",
-    "ui": "ui_static_l1 fwd 6.0; ui_static_grad fwd 20.0; ui_static_edge_f inv 0.85 0.35; ui_comp_drift_p90 fwd 8.0; ui_gen_drift fwd 6.0; ui_dyn_blend_frac fwd 0.15; ui_dyn_out_of_range_frac fwd 0.15; ui_dyn_regression fwd 0.2; text_edge_f inv 0.8 0.4; text_grad_loss fwd 0.3; text_comp_ratio ratio 0.6",
-    "transition": "event_ghost_frac fwd 0.15; event_regression fwd 0.2; card_flip_err fwd 0.5",
-    "global": "gtq_blockiness fwd 0.6; gtq_noise fwd 16.0; anchor_y_l1_p90 fwd 12.0; anchor_shift_better_frac fwd 0.5",
-    "": "comp_fwd_mean fwd 0.18; comp_bwd_mean fwd 0.18; flow_div_std fwd 1.5; flow_curl_std fwd 1.5; mct_lag2_mean fwd 30.0; parity_sharp_e_pi fwd 0.3; parity_grad_mean_gap fwd 0.3; parity_edge_mean_gap fwd 0.5; gtq_global_odd_even_sharp ratio 0.25",
-}
+#: The feature registry, as (feature, category, kind, scale, reference, width); a ratio's scale is its deviation.
+REGISTRY: tuple[tuple[str, str | None, str, float | None, float | None, float | None], ...] = (
+    ("comp_mean", "motion", "fwd", 0.18, None, None),
+    ("comp_p90_max", "motion", "fwd", 0.45, None, None),
+    ("comp_leg_ratio", "motion", "fwd", 0.25, None, None),
+    ("comp_fwd_p90", "motion", "fwd", 0.45, None, None),
+    ("comp_bwd_p90", "motion", "fwd", 0.45, None, None),
+    ("flow_fold_frac", "motion", "fwd", 0.1, None, None),
+    ("flow_jdet_low_frac", "motion", "fwd", 0.2, None, None),
+    ("comp_occ_region_mean", "motion", "fwd", 0.5, None, None),
+    ("mct_lag1_mean", "temporal", "fwd", 30.0, None, None),
+    ("mct_lag1_p90", "temporal", "fwd", 45.0, None, None),
+    ("mct_anchor_vs_gen_ratio", "temporal", "fwd", 1.5, None, None),
+    ("cycle_resid_mean", "temporal", "fwd", 35.0, None, None),
+    ("cycle_resid_p90", "temporal", "fwd", 100.0, None, None),
+    ("cycle_sharp_loss", "temporal", "fwd", 0.3, None, None),
+    ("freeze_copy_score", "temporal", "fwd", 0.5, None, None),
+    ("parity_window_sharp_gap", "temporal", "fwd", 0.25, None, None),
+    ("parity_lag2_gen_vs_anchor", "temporal", "fwd", 1.5, None, None),
+    ("parity_sharp_e_pi_block_max", "temporal", "fwd", 0.5, None, None),
+    ("parity_sharp_mean_gap", "temporal", "fwd", 0.45, None, None),
+    ("edge_count_odd_even_ratio", "temporal", "ratio", 0.35, None, None),
+    ("gtq_sharp_odd_even_ratio", "temporal", "ratio", 0.25, None, None),
+    ("edge_recall", "structure", "inv", None, 0.75, 0.45),
+    ("edge_precision", "structure", "inv", None, 0.9, 0.3),
+    ("edge_inst_recall_med", "structure", "inv", None, 0.3, 0.35),
+    ("edge_inst_recall_p10", "structure", "inv", None, 0.15, 0.35),
+    ("edge_chamfer_sup_to_em", "structure", "fwd", 6.0, None, None),
+    ("edge_ghost_frac", "structure", "fwd", 0.2, None, None),
+    ("char_missing_frac", "character", "fwd", 0.45, None, None),
+    ("char_extra_frac", "character", "fwd", 0.3, None, None),
+    ("char_chamfer", "character", "fwd", 150.0, None, None),
+    ("char_components_delta", "character", "fwd", 3.0, None, None),
+    ("char_leak_mean", "character", "inv", None, 10.0, 10.0),
+    ("char_ring_edge_frac", "character", "fwd", 0.35, None, None),
+    ("thin_layer_err", "thin_weapon", "fwd", 0.5, None, None),
+    ("thin_inst_err_p90", "thin_weapon", "fwd", 0.7, None, None),
+    ("thin_attrib_fail_frac", "thin_weapon", "fwd", 0.3, None, None),
+    ("thin_count_odd_even_ratio", "thin_weapon", "ratio", 0.45, None, None),
+    ("weapon_dev_p90", "thin_weapon", "fwd", 0.6, None, None),
+    ("weapon_dir_change_p90", "thin_weapon", "fwd", 1.0, None, None),
+    ("ui_static_l1", "ui", "fwd", 6.0, None, None),
+    ("ui_static_grad", "ui", "fwd", 20.0, None, None),
+    ("ui_static_edge_f", "ui", "inv", None, 0.85, 0.35),
+    ("ui_comp_drift_p90", "ui", "fwd", 8.0, None, None),
+    ("ui_gen_drift", "ui", "fwd", 6.0, None, None),
+    ("ui_dyn_blend_frac", "ui", "fwd", 0.15, None, None),
+    ("ui_dyn_out_of_range_frac", "ui", "fwd", 0.15, None, None),
+    ("ui_dyn_regression", "ui", "fwd", 0.2, None, None),
+    ("text_edge_f", "ui", "inv", None, 0.8, 0.4),
+    ("text_grad_loss", "ui", "fwd", 0.3, None, None),
+    ("text_comp_ratio", "ui", "ratio", 0.6, None, None),
+    ("event_ghost_frac", "transition", "fwd", 0.15, None, None),
+    ("event_regression", "transition", "fwd", 0.2, None, None),
+    ("card_flip_err", "transition", "fwd", 0.5, None, None),
+    ("gtq_blockiness", "global", "fwd", 0.6, None, None),
+    ("gtq_noise", "global", "fwd", 16.0, None, None),
+    ("anchor_y_l1_p90", "global", "fwd", 12.0, None, None),
+    ("anchor_shift_better_frac", "global", "fwd", 0.5, None, None),
+    ("comp_fwd_mean", None, "fwd", 0.18, None, None),
+    ("comp_bwd_mean", None, "fwd", 0.18, None, None),
+    ("flow_div_std", None, "fwd", 1.5, None, None),
+    ("flow_curl_std", None, "fwd", 1.5, None, None),
+    ("mct_lag2_mean", None, "fwd", 30.0, None, None),
+    ("parity_sharp_e_pi", None, "fwd", 0.3, None, None),
+    ("parity_grad_mean_gap", None, "fwd", 0.3, None, None),
+    ("parity_edge_mean_gap", None, "fwd", 0.5, None, None),
+    ("gtq_global_odd_even_sharp", None, "ratio", 0.25, None, None),
+)
 #: The weights of the score's parts; characters and thin objects share one.
 WEIGHTS = {"motion": 0.25, "temporal": 0.20, "structure": 0.20, "character_thin": 0.15, "ui": 0.10, "transition": 0.05, "global": 0.05}
 CORE = ("motion", "temporal", "structure")
@@ -27,19 +84,8 @@ CORE = ("motion", "temporal", "structure")
 LABEL_THRESHOLDS = {"motion": 0.45, "temporal": 0.40, "structure": 0.45, "character": 0.40, "thin_weapon": 0.45, "ui": 0.40, "transition": 0.35}
 
 
-def registry_rows() -> list[tuple[str, str | None, str, float | None, float | None, float | None]]:
-    """(feature, category, kind, scale, reference, width) of every feature; ``scale`` is a ratio's deviation too."""
-    rows = []
-    for category, features in REGISTRY.items():
-        for entry in features.split("; "):
-            name, kind, *numbers = entry.split()
-            a, b = float(numbers[0]), float(numbers[-1])
-            rows.append((name, category or None, kind, None if kind == "inv" else a, a if kind == "inv" else None, b if kind == "inv" else None))
-    return rows
-
-
 def feature_dim(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(registry_rows(), "feature string, category string, kind string, scale double, reference double, width double").coalesce(1)
+    return spark.createDataFrame(list(REGISTRY), "feature string, category string, kind string, scale double, reference double, width double").coalesce(1)
 
 
 def error_of(value: Column, kind: Column, scale: Column, reference: Column, width: Column, feature: Column | None = None) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators.fusion import LABEL_THRESHOLDS, WEIGHTS, registry_rows
-
 _S = "s AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k, epoch_us(ts) / 1e6 AS t, value AS x FROM events)"
 _W = "(PARTITION BY stream ORDER BY k)"
 _G = f"g AS (SELECT *, coalesce(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * (x - 0.5 * (lag(x) OVER {_W} + lead(x) OVER {_W})), 0.0) AS g, coalesce(abs(x - lag(x) OVER {_W}), 0.0) AS step FROM s)"
@@ -45,14 +43,85 @@ _PAIR = """pm AS (SELECT s.stream, s.k, CASE WHEN (k - off) % 2 = 0 AND fd >= 0
 _CUTPAIR = "cp AS (SELECT DISTINCT stream, pair FROM (SELECT stream, anchor - 1 AS pair FROM cuts JOIN pm USING (stream, k) WHERE anchor > 0 UNION ALL SELECT stream, pair FROM cuts JOIN pm USING (stream, k) WHERE pair IS NOT NULL))"
 _ALIGN = f"{_BASE}, {_Z}, {_CUTS}, {_OFF}, {_PAIR}, {_CUTPAIR}"
 
-_DIM = "dim(feature, category, kind, scale, reference, width) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" for v in row) + ")" for row in registry_rows()) + ")"
+#: The feature registry, written out here again so that a wrong constant in the engine shows.
+_DIM = """dim(feature, category, kind, scale, reference, width) AS (VALUES
+  ('comp_mean', 'motion', 'fwd', 0.18::DOUBLE, NULL, NULL),
+  ('comp_p90_max', 'motion', 'fwd', 0.45::DOUBLE, NULL, NULL),
+  ('comp_leg_ratio', 'motion', 'fwd', 0.25::DOUBLE, NULL, NULL),
+  ('comp_fwd_p90', 'motion', 'fwd', 0.45::DOUBLE, NULL, NULL),
+  ('comp_bwd_p90', 'motion', 'fwd', 0.45::DOUBLE, NULL, NULL),
+  ('flow_fold_frac', 'motion', 'fwd', 0.1::DOUBLE, NULL, NULL),
+  ('flow_jdet_low_frac', 'motion', 'fwd', 0.2::DOUBLE, NULL, NULL),
+  ('comp_occ_region_mean', 'motion', 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('mct_lag1_mean', 'temporal', 'fwd', 30.0::DOUBLE, NULL, NULL),
+  ('mct_lag1_p90', 'temporal', 'fwd', 45.0::DOUBLE, NULL, NULL),
+  ('mct_anchor_vs_gen_ratio', 'temporal', 'fwd', 1.5::DOUBLE, NULL, NULL),
+  ('cycle_resid_mean', 'temporal', 'fwd', 35.0::DOUBLE, NULL, NULL),
+  ('cycle_resid_p90', 'temporal', 'fwd', 100.0::DOUBLE, NULL, NULL),
+  ('cycle_sharp_loss', 'temporal', 'fwd', 0.3::DOUBLE, NULL, NULL),
+  ('freeze_copy_score', 'temporal', 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('parity_window_sharp_gap', 'temporal', 'fwd', 0.25::DOUBLE, NULL, NULL),
+  ('parity_lag2_gen_vs_anchor', 'temporal', 'fwd', 1.5::DOUBLE, NULL, NULL),
+  ('parity_sharp_e_pi_block_max', 'temporal', 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('parity_sharp_mean_gap', 'temporal', 'fwd', 0.45::DOUBLE, NULL, NULL),
+  ('edge_count_odd_even_ratio', 'temporal', 'ratio', 0.35::DOUBLE, NULL, NULL),
+  ('gtq_sharp_odd_even_ratio', 'temporal', 'ratio', 0.25::DOUBLE, NULL, NULL),
+  ('edge_recall', 'structure', 'inv', NULL, 0.75::DOUBLE, 0.45::DOUBLE),
+  ('edge_precision', 'structure', 'inv', NULL, 0.9::DOUBLE, 0.3::DOUBLE),
+  ('edge_inst_recall_med', 'structure', 'inv', NULL, 0.3::DOUBLE, 0.35::DOUBLE),
+  ('edge_inst_recall_p10', 'structure', 'inv', NULL, 0.15::DOUBLE, 0.35::DOUBLE),
+  ('edge_chamfer_sup_to_em', 'structure', 'fwd', 6.0::DOUBLE, NULL, NULL),
+  ('edge_ghost_frac', 'structure', 'fwd', 0.2::DOUBLE, NULL, NULL),
+  ('char_missing_frac', 'character', 'fwd', 0.45::DOUBLE, NULL, NULL),
+  ('char_extra_frac', 'character', 'fwd', 0.3::DOUBLE, NULL, NULL),
+  ('char_chamfer', 'character', 'fwd', 150.0::DOUBLE, NULL, NULL),
+  ('char_components_delta', 'character', 'fwd', 3.0::DOUBLE, NULL, NULL),
+  ('char_leak_mean', 'character', 'inv', NULL, 10.0::DOUBLE, 10.0::DOUBLE),
+  ('char_ring_edge_frac', 'character', 'fwd', 0.35::DOUBLE, NULL, NULL),
+  ('thin_layer_err', 'thin_weapon', 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('thin_inst_err_p90', 'thin_weapon', 'fwd', 0.7::DOUBLE, NULL, NULL),
+  ('thin_attrib_fail_frac', 'thin_weapon', 'fwd', 0.3::DOUBLE, NULL, NULL),
+  ('thin_count_odd_even_ratio', 'thin_weapon', 'ratio', 0.45::DOUBLE, NULL, NULL),
+  ('weapon_dev_p90', 'thin_weapon', 'fwd', 0.6::DOUBLE, NULL, NULL),
+  ('weapon_dir_change_p90', 'thin_weapon', 'fwd', 1.0::DOUBLE, NULL, NULL),
+  ('ui_static_l1', 'ui', 'fwd', 6.0::DOUBLE, NULL, NULL),
+  ('ui_static_grad', 'ui', 'fwd', 20.0::DOUBLE, NULL, NULL),
+  ('ui_static_edge_f', 'ui', 'inv', NULL, 0.85::DOUBLE, 0.35::DOUBLE),
+  ('ui_comp_drift_p90', 'ui', 'fwd', 8.0::DOUBLE, NULL, NULL),
+  ('ui_gen_drift', 'ui', 'fwd', 6.0::DOUBLE, NULL, NULL),
+  ('ui_dyn_blend_frac', 'ui', 'fwd', 0.15::DOUBLE, NULL, NULL),
+  ('ui_dyn_out_of_range_frac', 'ui', 'fwd', 0.15::DOUBLE, NULL, NULL),
+  ('ui_dyn_regression', 'ui', 'fwd', 0.2::DOUBLE, NULL, NULL),
+  ('text_edge_f', 'ui', 'inv', NULL, 0.8::DOUBLE, 0.4::DOUBLE),
+  ('text_grad_loss', 'ui', 'fwd', 0.3::DOUBLE, NULL, NULL),
+  ('text_comp_ratio', 'ui', 'ratio', 0.6::DOUBLE, NULL, NULL),
+  ('event_ghost_frac', 'transition', 'fwd', 0.15::DOUBLE, NULL, NULL),
+  ('event_regression', 'transition', 'fwd', 0.2::DOUBLE, NULL, NULL),
+  ('card_flip_err', 'transition', 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('gtq_blockiness', 'global', 'fwd', 0.6::DOUBLE, NULL, NULL),
+  ('gtq_noise', 'global', 'fwd', 16.0::DOUBLE, NULL, NULL),
+  ('anchor_y_l1_p90', 'global', 'fwd', 12.0::DOUBLE, NULL, NULL),
+  ('anchor_shift_better_frac', 'global', 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('comp_fwd_mean', NULL, 'fwd', 0.18::DOUBLE, NULL, NULL),
+  ('comp_bwd_mean', NULL, 'fwd', 0.18::DOUBLE, NULL, NULL),
+  ('flow_div_std', NULL, 'fwd', 1.5::DOUBLE, NULL, NULL),
+  ('flow_curl_std', NULL, 'fwd', 1.5::DOUBLE, NULL, NULL),
+  ('mct_lag2_mean', NULL, 'fwd', 30.0::DOUBLE, NULL, NULL),
+  ('parity_sharp_e_pi', NULL, 'fwd', 0.3::DOUBLE, NULL, NULL),
+  ('parity_grad_mean_gap', NULL, 'fwd', 0.3::DOUBLE, NULL, NULL),
+  ('parity_edge_mean_gap', NULL, 'fwd', 0.5::DOUBLE, NULL, NULL),
+  ('gtq_global_odd_even_sharp', NULL, 'ratio', 0.25::DOUBLE, NULL, NULL)
+)"""
 _F = """f AS (SELECT l_suppkey AS model, l_orderkey * 8 + l_linenumber AS window_, feature, value FROM lineitem, LATERAL (VALUES ('comp_mean', l_discount), ('mct_lag1_mean', l_quantity), ('edge_recall', 1 - 10 * l_tax), ('gtq_sharp_odd_even_ratio', 1 + l_tax - l_discount), ('ui_static_l1', l_quantity / 10),
   ('gtq_blockiness', 1 + l_discount), ('thin_layer_err', l_tax * 5), ('char_extra_frac', l_discount * 2), ('parity_sharp_e_pi', l_tax)) v(feature, value))"""
 _ERR = "CASE kind WHEN 'ratio' THEN greatest(0, least(1.5, abs(v - 1) / scale)) WHEN 'inv' THEN greatest(0, least(1.5, (reference - v) / width)) WHEN 'fwd' THEN 1 - exp(-greatest(v, 0) / scale) END"
 _E = f"{_DIM}, {_F}, e AS (SELECT model, window_, feature, category, {_ERR} AS error FROM (SELECT *, CASE WHEN feature = 'gtq_blockiness' THEN value - 1 ELSE value END AS v FROM f LEFT JOIN dim USING (feature)))"
 _TAIL = "0.4 * quantile_cont({0}, 0.5) + 0.4 * quantile_cont({0}, 0.9) + 0.2 * quantile_cont({0}, 0.99)"
 _CAT = f"{_E}, we AS (SELECT model, window_, category, avg(error) AS error FROM e WHERE category IS NOT NULL AND error IS NOT NULL GROUP BY ALL), cat AS (SELECT model, category, {_TAIL.format('error')} AS error FROM we GROUP BY ALL)"
-_WEIGHT = "CASE part " + " ".join(f"WHEN '{p}' THEN {w}" for p, w in WEIGHTS.items()) + " END"
+#: The weights of the score's parts.
+_WEIGHT = "CASE part WHEN 'motion' THEN 0.25 WHEN 'temporal' THEN 0.20 WHEN 'structure' THEN 0.20 WHEN 'character_thin' THEN 0.15 WHEN 'ui' THEN 0.10 WHEN 'transition' THEN 0.05 WHEN 'global' THEN 0.05 END"
+#: Errors from which a category labels a window.
+_LIMIT = "CASE category WHEN 'motion' THEN 0.45 WHEN 'temporal' THEN 0.40 WHEN 'structure' THEN 0.45 WHEN 'character' THEN 0.40 WHEN 'thin_weapon' THEN 0.45 WHEN 'ui' THEN 0.40 WHEN 'transition' THEN 0.35 END"
 
 
 def _overall(where: str = "TRUE") -> str:
@@ -61,7 +130,7 @@ overall AS (SELECT model, CASE WHEN count(*) FILTER (part IN ('motion', 'tempora
 
 
 _P = "p AS (SELECT vec_id AS frame, label::BIGINT AS scene, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) r(i))"
-_N = "n AS (SELECT p.*, q.v AS w FROM p JOIN p q ON q.frame = p.frame + 1 AND q.y = p.y AND q.x = p.x)"
+_N = "n AS (SELECT frame, scene, y, x, v, w FROM (SELECT *, lead(v) OVER nx AS w, lead(frame) OVER nx AS f FROM p WINDOW nx AS (PARTITION BY y, x ORDER BY frame)) WHERE f = frame + 1)"
 _ROW, _COL = "(PARTITION BY frame, y ORDER BY x)", "(PARTITION BY frame, x ORDER BY y)"
 _LAP = f"l AS (SELECT * FROM (SELECT frame, lag(v) OVER {_COL} + lead(v) OVER {_COL} + lag(v) OVER {_ROW} + lead(v) OVER {_ROW} - 4 * v AS l FROM p) WHERE l IS NOT NULL)"
 _HIST = "h AS (SELECT frame, bin, n / sum(n) OVER (PARTITION BY frame) AS share FROM (SELECT frame, greatest(0, least(7, floor((v + 0.4) / (0.8 / 8))))::BIGINT AS bin, count(*) AS n FROM p GROUP BY ALL))"
@@ -128,7 +197,7 @@ SELECT found.stream, k, seg FROM found JOIN truth ON found.stream = truth.stream
     "fail_closed": f"WITH {_CAT}, {_overall("NOT (category = 'structure' AND model % 2 = 1)")} SELECT model, round(overall, 4) AS overall, parts FROM overall",
     "model_ranking": f"WITH {_CAT}, {_overall("NOT (category = 'structure' AND model % 7 = 1)")}, r AS (SELECT model, round(overall, 6) AS overall FROM overall) SELECT model, round(overall, 4) AS overall, round(overall - avg(overall) OVER (), 4) AS relative, row_number() OVER (ORDER BY r.overall DESC NULLS LAST, model) AS rank FROM r",
     "trigger_errors": f"WITH {_E}, t AS (SELECT model, window_, category, greatest(avg(error), 0.75 * max(error)) AS error FROM e WHERE category IS NOT NULL AND error IS NOT NULL GROUP BY ALL) SELECT model, category, round(max(error), 6) AS most, round(avg(error), 6) AS mean FROM t GROUP BY ALL",
-    "worst_categories": f"WITH {_CAT}, x AS (SELECT model, category, round(error, 6) AS error, CASE category {' '.join(f"WHEN '{c}' THEN {t}" for c, t in LABEL_THRESHOLDS.items())} END AS lim FROM cat), fired AS (SELECT model, category, row_number() OVER (PARTITION BY model ORDER BY error DESC, category) AS r FROM x WHERE error > lim) SELECT model, coalesce((SELECT string_agg(category, '+' ORDER BY r) FROM fired WHERE fired.model = x.model AND r <= 3), '') AS labels, round(greatest(0, least(1, max(error) / 1.2)), 6) AS severity FROM x GROUP BY model",
+    "worst_categories": f"WITH {_CAT}, x AS (SELECT model, category, round(error, 6) AS error, {_LIMIT} AS lim FROM cat), fired AS (SELECT model, category, row_number() OVER (PARTITION BY model ORDER BY error DESC, category) AS r FROM x WHERE error > lim) SELECT model, coalesce((SELECT string_agg(category, '+' ORDER BY r) FROM fired WHERE fired.model = x.model AND r <= 3), '') AS labels, round(greatest(0, least(1, max(error) / 1.2)), 6) AS severity FROM x GROUP BY model",
     "confidence": """WITH m AS (SELECT l_suppkey AS model, count(*) AS total, count(*) FILTER (l_returnflag <> 'R') AS valid, avg(l_discount) AS visible, count(DISTINCT l_linenumber) + 2.0 AS keys, avg(l_tax) AS ambiguity, avg(l_quantity) AS anchor_error, count(*) FILTER (l_quantity > 49) AS warnings, avg(l_linenumber) / 3000 AS wpf FROM lineitem GROUP BY ALL),
 p AS (SELECT model, total, valid, list_filter([1.0 - valid / total, greatest(0, least(1, (0.75 - visible) / 0.5)), greatest(0, least(1, (12 - keys) / 12)), 0.5 * greatest(0, least(1, 1.5 * ambiguity)), greatest(0, least(1, (anchor_error - 8) / 30)), CASE WHEN warnings > 0 THEN least(0.4, 0.15 * warnings) END, greatest(0, least(0.5, (0.01 - 5 * wpf) / 0.01))], lambda x: x IS NOT NULL) AS p FROM m)
 SELECT model, round(CASE WHEN total > 0 AND valid = 0 THEN 0.02 ELSE greatest(0.05, least(1, 1 - 0.9 * list_sum(p) / len(p))) END, 6) AS confidence FROM p""",

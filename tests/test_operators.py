@@ -95,7 +95,7 @@ def test_errors_and_scores(spark):
     got = {r.model: r.overall for r in fusion.overall_scores(c, ["model"]).collect()}
     assert got[1] == pytest.approx(fusion.score_formula({"motion": 0.2, "temporal": 0.4, "structure": 0.1, "character": 0.5, "thin_weapon": 0.7})) and got[2] is None
     assert math.isnan(fusion.score_formula({"motion": 0.1}))
-    assert len(fusion.registry_rows()) == 66
+    assert len(fusion.REGISTRY) == 66
 
 
 def test_worse_errors_score_lower(spark):
