@@ -12,11 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import align, fusion, kernels, regions, report_rules, scan as scans, windows
 from ..sources.frames import PatternSource
+from ..sources.tables import written
 
 #: Windows of the presets, (uniform, by risk), and those that measure regions too.
 PRESETS = {"fast": (8, 8), "standard": (16, 32), "audit": (24, 48)}
@@ -122,13 +122,13 @@ def _unpivot(df: DataFrame) -> DataFrame:
 
 
 def evaluation(frames: DataFrame, source: DataFrame | None = None, preset: str = "fast") -> Evaluation:
-    """The whole run; frames, the scan and the features are kept in memory or on disk, as several tables use them."""
+    """The whole run; the scan, the pairs, the windows and the features are written, as several tables use them."""
     if preset not in PRESETS:
         raise ValueError(f"unknown preset {preset!r}")
     spark = frames.sparkSession
     uniform, by_risk = PRESETS[preset]
     frames = frames.withColumn("k", F.col("k").cast("long"))
-    scanned = scan(frames).persist(StorageLevel.MEMORY_AND_DISK)
+    scanned = written(scan(frames), "scan")
     candidate = scanned.select("stream", "k", "t")
     if source is None:
         originals = frames.where(F.col("k") % 2 == 0).select(F.col("model").alias("stream"), F.floor(F.col("k") / 2).alias("i"), "t", "luma")
@@ -139,11 +139,14 @@ def evaluation(frames: DataFrame, source: DataFrame | None = None, preset: str =
         originals = named(source).join(models, "source").select("stream", F.col("k").cast("long").alias("i"), "t", "luma")
     times = originals.select("stream", "i", "t")
     offsets = align.best_offset(align.offset_errors(times, candidate))
-    pairs = align.anchor_pairs(candidate, offsets, times).persist(StorageLevel.MEMORY_AND_DISK)
+    offsets = written(offsets, "offsets")
+    pairs = written(align.anchor_pairs(candidate, offsets, times), "pairs")
     cuts = align.cut_pairs(scans.scan_cuts(scanned), pairs)
-    chosen = scans.select_windows(pairs.select("stream", "k", "pair"), cuts, scans.risk(scanned), uniform, by_risk).persist(StorageLevel.MEMORY_AND_DISK)
-    local = window_features(frames, chosen.select("stream", F.col("centre").alias("k")), preset in WITH_REGIONS).persist(StorageLevel.MEMORY_AND_DISK)
-    anchors = anchor_features(frames, originals, pairs)
+    chosen = scans.select_windows(pairs.select("stream", "k", "pair"), cuts, scans.risk(scanned), uniform, by_risk)
+    chosen = written(chosen, "windows")
+    local = window_features(frames, chosen.select("stream", F.col("centre").alias("k")), preset in WITH_REGIONS)
+    local = written(local, "features")
+    anchors = written(anchor_features(frames, originals, pairs), "anchors")
     overall = _unpivot(scans.global_parity(scanned)).unionByName(_unpivot(scans.global_technical(scanned))).unionByName(_unpivot(anchors))
 
     dim = fusion.feature_dim(spark)
