@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.tables import shared_dir, written as materialise
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+__all__ = ["fresh", "materialise", "release", "row_key", "shared_dir", "small", "table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this application in the one that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a
-    local session takes a temporary folder, and a cluster is an error, as its executors don't share any. The folder goes when
-    the application ends."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if context.master != "local" and not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="frameloom-")
-        context.setCheckpointDir(found)
-    folder = f"{found.rstrip('/')}/frameloom-{context.applicationId}"
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(context._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
-    return folder
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release(spark: SparkSession) -> None:
