@@ -7,8 +7,8 @@ the links leaves the task, which keeps the components and stays linear in the ro
 
 ``keep_one`` is for texts that were edited, not only copied: it links texts by ``SKETCH_WORDS`` x 64 bits of five-word shingles
 within the distance that a similarity of 0.8 has (Jaccard's, which is a cosine of 0.89; the bits differ with the angle's share of
-pi), rounded up by half a standard deviation. It compares the same way, in larger tiles by population count; at that radius few tile pairs are skipped, so the work is
-quadratic in the different fingerprints.
+pi: 19.4 of 128), plus a standard deviation. It compares the same way, in larger tiles by population count; at that radius few
+tile pairs are skipped, so the work is quadratic in the different fingerprints.
 
 Null and empty texts have fingerprint 0 and link like any other; texts are read whole; equal fingerprints are one node, so
 copies cost nothing; repeated rows each keep their row; a null id is never a component's name unless no member has one; an
@@ -32,7 +32,7 @@ RADIUS, SHINGLE, SEED, TILE = 3, 3, 42, 4096
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK = 1 << 20
 #: ``keep_one``: words of a shingle, 64-bit words of a fingerprint, differing bits, population counts and rows of a tile.
-KEEP_SHINGLE, SKETCH_WORDS, KEEP_RADIUS, COUNTS, KEEP_TILE = 5, 2, 22, 8, 32768
+KEEP_SHINGLE, SKETCH_WORDS, KEEP_RADIUS, COUNTS, KEEP_TILE = 5, 2, 24, 8, 32768
 
 
 def _shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
