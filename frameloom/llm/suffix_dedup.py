@@ -31,7 +31,7 @@ from .common import materialise, row_key, small
 MIN_WORDS, SPREAD, GRAM = 50, 24, 8
 #: Repeated suffix fingerprints (8 bytes each), and contexts with their intervals (some 100 bytes each), up to which they are sent
 #: to all executors; beyond it they are joined.
-BROADCAST_SUFFIXES, BROADCAST_CONTEXTS = 2_000_000, 200_000
+BROADCAST_SUFFIXES, BROADCAST_CONTEXTS = 2_000_000, 20_000
 #: Characters whose words are worked on at once, and words whose hashes a worker keeps.
 BLOCK, KNOWN_WORDS = 1 << 20, 200_000
 _BASE = 0x9E3779B97F4A7C15
@@ -201,12 +201,13 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     found = materialise(found, "matches")
     row = F.xxhash64("id_", "key_")
     key = ["suffix", "context", "n"]
-    contexts = found.groupBy(*key).agg(F.count("*").alias("copies"), F.min(row).alias("a"), F.max(row).alias("b"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("id_").alias("first_id"), F.first("prints").alias("prints"))
+    # An occurrence has one context, so a window in two contexts occurs twice, as one does whose context occurs twice.
+    contexts = found.groupBy(*key).agg(F.count("*").cast("int").alias("copies"), F.min(row).alias("a"), F.max(row).alias("b"), F.min("start").alias("s0"), F.max("start").alias("s1"), F.min("id_").alias("first_id"), F.first("prints").alias("prints"))
+    contexts = contexts.withColumn("across", F.col("a") != F.col("b")).withColumn("again", F.col("across") | (F.col("s0") != F.col("s1"))).drop("b", "s0", "s1")
     contexts = materialise(contexts, "contexts")
-    windows = contexts.select(*key, "copies", "a", "b", "s0", "s1", "first_id", F.posexplode("prints").alias("j", "print"))
-    windows = windows.withColumn("s0", F.col("s0") + F.col("j")).withColumn("s1", F.col("s1") + F.col("j"))
-    twice = windows.groupBy("suffix", "print").agg(F.sum("copies").alias("copies"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("first_id").alias("first_id"))
-    twice = twice.where("a <> b OR s0 <> s1").select("suffix", "print", "copies", "first_id", (F.col("a") != F.col("b")).alias("across"))
+    windows = contexts.select(*key, "copies", "a", "across", "again", "first_id", F.posexplode("prints").alias("j", "print"))
+    twice = windows.groupBy("suffix", "print").agg(F.sum("copies").alias("copies"), F.count("*").cast("int").alias("n"), F.min("a").alias("a"), F.max("a").alias("b"), F.bool_or("across").alias("across"), F.bool_or("again").alias("again"), F.min("first_id").alias("first_id"))
+    twice = twice.where("n > 1 OR again").select("suffix", "print", "copies", "first_id", (F.col("across") | (F.col("a") != F.col("b"))).alias("across"))
     held = windows.select(*key, "j", "print").join(twice, ["suffix", "print"]).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("j", "first_id", "copies", "across"))).alias("w"))
     # Written, so that the join is a broadcast of a checked size or a plain one, which Spark splits at very common contexts.
     held = materialise(held.select(*key, _intervals(F.col("w")).alias("x")), "intervals")
