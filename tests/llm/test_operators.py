@@ -479,14 +479,13 @@ def test_texts_of_one_item_are_all_looked_up(spark):
     texts = [" ".join(f"{c}{k}" for k in range(14)) for c in "abcd"]
     docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)] + [(9, "x y z")], "doc_id long, text string")
     benchmark = spark.createDataFrame([(0, texts[0]), (0, texts[1]), (0, " ".join(f"n{k}" for k in range(14))), (None, texts[2]), (0, texts[0])], "item_id long, text string")
-    for rows_, words_ in ((decontaminate.BROADCAST_ROWS, decontaminate.BROADCAST_WORDS), (0, 0)):
-        before = decontaminate.BROADCAST_ROWS, decontaminate.BROADCAST_WORDS
-        decontaminate.BROADCAST_ROWS, decontaminate.BROADCAST_WORDS = rows_, words_
+    for rows_ in (decontaminate.BROADCAST_ROWS, 0):
+        before, decontaminate.BROADCAST_ROWS = decontaminate.BROADCAST_ROWS, rows_
         try:
             found = {r.doc_id: (r.n_hit, r.n_items, r.contaminated, len(r.hits)) for r in decontaminate.decontaminate(docs, benchmark).collect()}
             clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()}
         finally:
-            decontaminate.BROADCAST_ROWS, decontaminate.BROADCAST_WORDS = before
+            decontaminate.BROADCAST_ROWS = before
         assert found == {0: (14, 1, True, 5), 1: (14, 1, True, 5), 2: (14, 0, True, 5), 3: (0, 0, False, 0), 9: (0, 0, False, 0)} and clean == {3, 9}
 
 
