@@ -270,7 +270,7 @@ def _sql() -> dict[str, str]:
     picks = _greedy("(SELECT stream, k, t, risk FROM cen WHERE risk > 0)", "risk", PICKS, 0.5, ">=", "picks")
     return {
         "frame_scan": f"WITH {_SCENES} SELECT stream, k, round(t, 4) AS t, round(luma_mean, 4) AS luma_mean, round(luma_std, 4) AS luma_std, round(sharpness, 4) AS sharpness, round(grad_energy, 4) AS grad_energy, round(edge_frac, 4) AS edge_frac, hash, hash_dist, round(frame_diff, 4) AS frame_diff, round(hist_dist, 4) AS hist_dist, round(hist16_dist, 4) AS hist16_dist FROM sc",
-        "scan_cut_score": f"WITH {_SCENES}, {_SCORE} SELECT stream, k, round(score, 3) AS score FROM score",
+        "scan_cut_score": f"WITH {_SCENES}, {_SCORE} SELECT stream, k, round(score, 3) + 0.0 AS score FROM score",
         "scan_scene_cuts": f"WITH {_SCENES}, {_CUT} SELECT stream, k FROM cuts",
         "cuts_alone": f"WITH {_SCENES}, st AS (SELECT stream, k, hash_dist, hist16_dist FROM sc WHERE k > 0 QUALIFY count(*) OVER (PARTITION BY stream) >= 8), {_z('st', ('hash_dist', 'hist16_dist'), 'zc')} SELECT stream, k FROM zc WHERE (z_hash_dist > 6 AND hash_dist > 8) OR (z_hist16_dist > 8 AND hist16_dist > 0.35)",
         "scan_risk_parts": f"WITH {_SCENES}, {_PARTS} SELECT stream, k, round(t, 4) AS t, {', '.join(f'round({n}, 4) AS {n}' for n in _SIX)} FROM parts",
@@ -297,7 +297,7 @@ named AS (SELECT id, -2 AS r, 'card_flip_error' AS name FROM w WHERE card_flip_e
 kept AS (SELECT n.id, n.r, n.name FROM named n JOIN w USING (id) WHERE n.name <> 'transition_ghost' OR event_ghost_frac > 0.08 OR NOT EXISTS (SELECT 1 FROM named o WHERE o.id = n.id AND o.r < n.r)),
 l AS (SELECT id, string_agg(name, '+' ORDER BY r) AS labels FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r) AS q FROM kept) WHERE q <= 4 GROUP BY id)
 SELECT "order", line, labels, round(greatest(0, least(1, greatest(motion, temporal, structure, character, thin_weapon, ui, transition, card_flip_err, coalesce(freeze_copy_score, 0)) / 1.2)), 6) AS severity FROM w JOIN l USING (id)""",
-        "colour_transforms": "WITH d AS (SELECT *, l_quantity AS v, 1 + (l_discount - 0.05) * 0.6 AS gain, (l_tax - 0.04) * 60 AS off FROM lineitem) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(v * gain + off, 6) AS there, round((v - off) / greatest(0.25, least(4, gain)), 6) AS here, round((v * gain + off - off) / greatest(0.25, least(4, gain)), 6) AS back, abs(gain - 1) < 0.02 AND abs(off) < 0.5 AS trivial FROM d",
+        "colour_transforms": "WITH d AS (SELECT *, l_quantity AS v, 1 + (l_discount - 0.05) * 0.6 AS gain, (l_tax - 0.04) * 60 AS off FROM lineitem) SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, round(v * gain + off, 6) + 0.0 AS there, round((v - off) / greatest(0.25, least(4, gain)), 6) + 0.0 AS here, round((v * gain + off - off) / greatest(0.25, least(4, gain)), 6) + 0.0 AS back, abs(gain - 1) < 0.02 AND abs(off) < 0.5 AS trivial FROM d",
         "time_to_index": f"WITH {_S}, q AS (SELECT DISTINCT stream, t + CASE WHEN k % 2 = 0 THEN 0 ELSE 5000 END AS asked FROM s WHERE k % 3 = 0) SELECT q.stream, round(asked, 6) AS \"at\", coalesce(min(k) FILTER (s.t >= asked), max(k)) AS k FROM q JOIN s USING (stream) GROUP BY q.stream, asked",
         "content_hash": "SELECT doc_id, sha1(concat_ws('|', source, n_chars::VARCHAR, doc_id::VARCHAR))[1:16] AS hash FROM documents",
         "num_or_none": "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN round(o_totalprice / 7, 4) END AS x FROM orders",
