@@ -11,7 +11,8 @@ segment leaves of them.
 Segment keys are counted first; only keys that two different lines share are looked at again. The lines of a key that more
 than ``bucket`` lines share aren't paired up. Each is compared with the key's ``PIVOTS`` earliest lines (by slots of a hash);
 lines that are near one are decided. For the others the key is extended by a segment of what is left of the lines, by the same
-join again, until groups are small. At the end lines of a group differ in so few characters that they are all near its earliest
+join again, until groups are small or all pairs left are no more than ``PIVOTS`` for each row of the first level. A line keeps
+its part through the levels: the shorter one of a pair, or the longer one by so many characters. At the end lines of a group differ in so few characters that they are all near its earliest
 line. Lines that few undecided ones share a key with are compared with those only. So work stays linear in a group's lines.
 
 With lines shorter than ``chars_per_edit`` no edit is allowed (one edit tells "Page 1" from "Page 2"); ``chars_per_edit`` 0
@@ -122,9 +123,10 @@ def _trim(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\v\f"))
 
 
-def _segments(rows: DataFrame, text: str, edits: int, allowed: Callable[[Column], Column]) -> DataFrame:
-    """``rows`` with ``k``: struct of ``key, at, size, t``, a row for each of a text's segments as the shorter one of a pair, and
-    for each place where a segment of a shorter one can be in it; ``allowed`` gives the edits for a shorter text's length.
+def _segments(rows: DataFrame, text: str, edits: int, allowed: Callable[[Column], Column], role: str | None = None) -> DataFrame:
+    """``rows`` with ``k``: struct of ``key, at, size, t, longer``, a row for each of a text's segments as the shorter one of a
+    pair, and for each place where a segment of a shorter one, by ``longer`` characters, can be in it; ``allowed`` gives the edits
+    for a shorter text's length. Only the places of ``role`` characters more, where that column is given.
 
     Each row is first dealt out over a fixed table of (t, how much longer, segment, shift), so that one short expression makes
     the keys: a long one would be too much code for the JVM to compile. In UTF-32 a segment's place is known without reading
@@ -140,10 +142,11 @@ def _segments(rows: DataFrame, text: str, edits: int, allowed: Callable[[Column]
     rows = rows.withColumn("u_", F.encode(F.col(text), "UTF-32")).withColumn("n_", F.shiftright(F.octet_length("u_"), 2)).withColumn("q_", q)
     m, t = F.col("n_") - F.col("q_.l"), F.col("q_.t")  # the shorter text's length
     begin, end = (F.expr(f"CAST(CAST(n_ - q_.l AS BIGINT) * {k} div (q_.t + 1) AS INT)") for k in ("q_.i", "(q_.i + 1)"))
-    rows = rows.where((m >= 0) & (allowed(m) == t)).withColumn("size_", end - begin).withColumn("at_", begin + F.col("q_.s"))
+    fits = (m >= 0) & (allowed(m) == t)
+    rows = rows.where(fits if role is None else fits & (F.col("q_.l") == F.col(role))).withColumn("size_", end - begin).withColumn("at_", begin + F.col("q_.s"))
     rows = rows.where("at_ >= 0 AND at_ + size_ <= n_")
     key = F.xxhash64("q_.i", "q_.t", m, F.substring("u_", 4 * F.col("at_") + 1, 4 * F.col("size_")))
-    return rows.withColumn("k", F.struct(key.alias("key"), F.col("at_").alias("at"), F.col("size_").alias("size"), F.col("q_.t").alias("t"))).drop("u_", "n_", "q_", "size_", "at_")
+    return rows.withColumn("k", F.struct(key.alias("key"), F.col("at_").alias("at"), F.col("size_").alias("size"), F.col("q_.t").alias("t"), F.col("q_.l").alias("longer"))).drop("u_", "n_", "q_", "size_", "at_")
 
 
 def _without(text: Column, at: Column, size: Column, edits: int) -> Column:
@@ -191,9 +194,10 @@ def _near(pairs: DataFrame, edits: int) -> DataFrame:
 
 
 def _pairs(searchers: DataFrame, others: DataFrame) -> DataFrame:
-    """Each searcher with the earlier lines of its key, the shorter rest as ``r``."""
-    other = others.select("key", F.col("first").alias("earlier"), F.col("rest").alias("other"))
-    both = searchers.join(other, "key").where("earlier < first")
+    """Each searcher with the earlier lines of its key, the shorter rest as ``r``. One of a pair has the key as the shorter text:
+    two lines that both have it as longer ones share another key, of their own lengths, if they are near."""
+    other = others.select("key", F.col("first").alias("earlier"), F.col("rest").alias("other"), F.col("longer").alias("longer2"))
+    both = searchers.join(other, "key").where("earlier < first AND (longer = 0 OR longer2 = 0)")
     short = F.char_length("rest") <= F.char_length("other")
     return both.select("h", "g", "t", F.when(short, F.col("rest")).otherwise(F.col("other")).alias("r"), F.when(short, F.col("other")).otherwise(F.col("rest")).alias("s"))
 
@@ -211,28 +215,29 @@ def _near_earlier(lines: DataFrame, firsts: DataFrame, edits: int, chars_per_edi
 
     long_enough = lines.where(F.char_length("line") >= chars_per_edit)
     cut = _segments(long_enough.select("h", "g", "line"), "line", edits, allowed)
-    shared = cut.select("h", "k.key").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("key")
+    shared = cut.select("h", "k.key", "k.longer").groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("longer").alias("l")).where("a <> b AND l = 0").select("key")
     hinted, _ = small(materialise(shared, "shared-segments"), BROADCAST_ROWS)
     held = cut.select("h", "g", "line", "k.*").join(hinted, "key")
-    held = held.groupBy("key", "h", "g", "at").agg(F.first(_without(F.col("line"), F.col("at"), F.col("size"), edits)).alias("rest"), F.first("t").alias("t"))
+    held = held.groupBy("key", "h", "g", "at", "longer").agg(F.first(_without(F.col("line"), F.col("at"), F.col("size"), edits)).alias("rest"), F.first("t").alias("t"))
     members = materialise(held.join(firsts, ["h", "g"]).withColumn("open", F.lit(True)), "segment-members")
+    most = PIVOTS * members.count()  # pairs that cost no more than one comparison of the first level's rows with pivots
     decided = None
     for level in range(levels):
         sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("least"))
-        hot_keys, _ = small(materialise(_narrow(sizes.where(F.col("n") > bucket).drop("n")), "hot-segments"), BROADCAST_ROWS // PIVOTS)
+        hot_keys, _ = small(materialise(_narrow(sizes.where(F.col("n") > bucket).withColumnRenamed("n", "all")), "hot-segments"), BROADCAST_ROWS // PIVOTS)
         few = members.join(hot_keys, "key", "left_anti")
         found = _near(_pairs(few.where("open"), few), edits)
         decided = found if decided is None else decided.unionByName(found)
         if not hot_keys.take(1):
             break
         hot = members.join(hot_keys, "key")
-        pivots = hot.groupBy("key", F.pmod(F.xxhash64("h", "key"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("first", "rest")).alias("p")).select("key", "p.*")
+        pivots = hot.groupBy("key", F.pmod(F.xxhash64("h", "key"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("first", "rest", "longer")).alias("p")).select("key", "p.*")
         found = _near(_pairs(hot.where("open AND first > least"), pivots), edits)
         decided = materialise(_narrow(decided.unionByName(found).distinct()), "near-lines")
         seen, _ = small(decided.withColumn("seen", F.lit(True)), BROADCAST_ROWS)
         hot = hot.join(seen, ["h", "g"], "left").withColumn("open", F.col("open") & F.col("seen").isNull() & (F.col("first") > F.col("least"))).drop("seen", "least")
-        open_keys = materialise(_narrow(hot.where("open").groupBy("key").agg(F.count("*").alias("n"))), "open-segments")
-        last = level + 1 == levels
+        open_keys = materialise(_narrow(hot.where("open").groupBy("key").agg(F.count("*").alias("n"), F.first("all").alias("all"))), "open-segments")
+        last = level + 1 == levels or (open_keys.agg(F.sum(F.col("n") * F.col("all"))).first()[0] or 0) <= most
         one_by_one = open_keys if last else open_keys.where(F.col("n") <= bucket)
         here = hot.join(small(one_by_one.select("key"), BROADCAST_ROWS)[0], "key")
         decided = decided.unionByName(_near(_pairs(here.where("open"), here), edits))
@@ -240,10 +245,10 @@ def _near_earlier(lines: DataFrame, firsts: DataFrame, edits: int, chars_per_edi
         if last or not more.take(1):
             break
         # Longer keys: a segment of the rest on top.
-        rest = hot.join(more, "key").select(F.col("key").alias("key0"), "h", "g", "first", "open", "rest", F.col("t").alias("t0"))
-        parts = _segments(rest, "rest", edits, lambda n: F.col("t0"))
-        parts = parts.select(F.xxhash64("key0", "k.key").alias("key"), "h", "g", _without(F.col("rest"), F.col("k.at"), F.col("k.size"), edits).alias("rest"), F.col("k.t").alias("t"), "first", "open")
-        shared = parts.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.bool_or("open").alias("any")).where("a <> b AND any").select("key")
+        rest = hot.join(more, "key").select(F.col("key").alias("key0"), "h", "g", "first", "open", "rest", F.col("t").alias("t0"), F.col("longer").alias("l0"))
+        parts = _segments(rest, "rest", edits, lambda n: F.col("t0"), "l0")
+        parts = parts.select(F.xxhash64("key0", "k.key").alias("key"), "h", "g", _without(F.col("rest"), F.col("k.at"), F.col("k.size"), edits).alias("rest"), F.col("k.t").alias("t"), "first", "open", "k.longer")
+        shared = parts.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.min("longer").alias("l"), F.bool_or("open").alias("any")).where("a <> b AND l = 0 AND any").select("key")
         members = materialise(_narrow(parts.join(small(materialise(_narrow(shared), "shared-segments"), BROADCAST_ROWS)[0], "key").distinct()), "segment-members")
     return decided.distinct()
 

@@ -378,6 +378,20 @@ def test_hot_segments(spark):
     assert Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(docs))) == brute_lines(texts)
 
 
+def test_parts_of_pairs(spark):
+    """Two lines that both have a key as the longer one aren't paired, and a part stays when a key is extended."""
+    lines = spark.createDataFrame([(k, k, "abcdefghij" * 3 + "x" * k) for k in range(2)], "h long, g long, line string")
+    cut = line_dedup._segments(lines, "line", 1, lambda n: F.lit(1))
+    held = cut.select("h", "g", "k.*").withColumn("first", F.col("h")).withColumn("rest", F.lit("r"))
+    pairs = line_dedup._pairs(held, held)
+    both = held.join(held.select("key", F.col("h").alias("h2")), "key").where("h2 < h")
+    assert pairs.count() == both.count() == 1
+    longer = held.where("longer = 1")
+    assert line_dedup._pairs(longer.withColumn("key", F.lit(1)), longer.withColumn("key", F.lit(1))).count() == 0
+    again = line_dedup._segments(lines.withColumn("part", F.col("h").cast("int")), "line", 1, lambda n: F.lit(1), "part")
+    assert [(r.h, r[1]) for r in again.select("h", "k.longer").collect()] == [(0, 0), (0, 0), (1, 1), (1, 1)]
+
+
 def test_very_long_lines(spark):
     rng = random.Random(6)
     base = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
