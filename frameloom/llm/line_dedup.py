@@ -11,9 +11,12 @@ segment leaves of them.
 Segment keys are counted first; only keys that two different lines share are looked at again. The lines of a key that more
 than ``bucket`` lines share aren't paired up. Each is compared with the key's ``PIVOTS`` earliest lines (by slots of a hash);
 lines that are near one are decided. For the others the key is extended by a segment of what is left of the lines, by the same
-join again, until groups are small or all pairs left are no more than ``PIVOTS`` for each row of the first level. A line keeps
-its part through the levels: the shorter one of a pair, or the longer one by so many characters. At the end lines of a group differ in so few characters that they are all near its earliest
-line. Lines that few undecided ones share a key with are compared with those only. So work stays linear in a group's lines.
+join again, until groups are small, all pairs left are no more than ``SIGNED_PAIRS`` for each row of the first level, or a level
+hasn't made them fewer. A line keeps its part through the levels: the shorter one of a pair, or the longer one by so many characters. At the end lines of a
+group differ in so few characters that they are all near its earliest line. Pairs left are told apart by signatures, two longs
+of parities that few edits change little, before their texts are read. Lines that few undecided ones share a key with are
+compared with those only. With one edit work stays linear in a group's lines. With more it doesn't where many lines differ from
+one text, each at a place of its own: every key without both places holds such a pair, so longer keys don't tell them apart.
 
 With lines shorter than ``chars_per_edit`` no edit is allowed (one edit tells "Page 1" from "Page 2"); ``chars_per_edit`` 0
 allows all edits everywhere. Blank lines always stay. Null texts stay null, and a text that loses all lines becomes empty. Rows
@@ -31,9 +34,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialise, row_key, small
 
 #: Edits allowed at most, and characters of the shorter line for each of them.
-EDITS, CHARS_PER_EDIT = 1, 20
+EDITS, CHARS_PER_EDIT = 2, 20
 #: Lines of a key that are paired up, and earliest lines that those of larger groups are compared with.
 MAX_BUCKET, PIVOTS = 32, 4
+#: Comparisons of signatures, for each row of the first level, up to which the lines of larger groups are compared with each other.
+SIGNED_PAIRS = 256
+#: What a level must leave of the pairs at most for another one to follow.
+LESS = 0.75
 #: Extensions of a key after which undecided lines are compared with all that are left of their group.
 MAX_LEVELS = 16
 #: Rows (of two longs) up to which the shared segment keys are broadcast.
@@ -129,8 +136,8 @@ def _segments(rows: DataFrame, text: str, edits: int, allowed: Callable[[Column]
     for a shorter text's length. Only the places of ``role`` characters more, where that column is given.
 
     Each row is first dealt out over a fixed table of (t, how much longer, segment, shift), so that one short expression makes
-    the keys: a long one would be too much code for the JVM to compile. In UTF-32 a segment's place is known without reading
-    what stands before it."""
+    the keys: a long one would be too much code for the JVM to compile. Where all characters are of one byte, a segment's place
+    is known without reading what stands before it; its bytes are the same either way."""
     table = [
         (t, longer, i, shift)
         for t in range(1, edits + 1)
@@ -139,14 +146,15 @@ def _segments(rows: DataFrame, text: str, edits: int, allowed: Callable[[Column]
         for shift in range(max(-i, longer - (t - i)), min(i, longer + (t - i)) + 1)
     ]
     q = F.explode(F.array(*(F.struct(*(F.lit(x).alias(name) for x, name in zip(row, "tlis", strict=True))) for row in table)))
-    rows = rows.withColumn("u_", F.encode(F.col(text), "UTF-32")).withColumn("n_", F.shiftright(F.octet_length("u_"), 2)).withColumn("q_", q)
+    rows = rows.withColumn("n_", F.char_length(text)).withColumn("plain_", F.octet_length(text) == F.col("n_")).withColumn("q_", q)
     m, t = F.col("n_") - F.col("q_.l"), F.col("q_.t")  # the shorter text's length
     begin, end = (F.expr(f"CAST(CAST(n_ - q_.l AS BIGINT) * {k} div (q_.t + 1) AS INT)") for k in ("q_.i", "(q_.i + 1)"))
     fits = (m >= 0) & (allowed(m) == t)
     rows = rows.where(fits if role is None else fits & (F.col("q_.l") == F.col(role))).withColumn("size_", end - begin).withColumn("at_", begin + F.col("q_.s"))
     rows = rows.where("at_ >= 0 AND at_ + size_ <= n_")
-    key = F.xxhash64("q_.i", "q_.t", m, F.substring("u_", 4 * F.col("at_") + 1, 4 * F.col("size_")))
-    return rows.withColumn("k", F.struct(key.alias("key"), F.col("at_").alias("at"), F.col("size_").alias("size"), F.col("q_.t").alias("t"), F.col("q_.l").alias("longer"))).drop("u_", "n_", "q_", "size_", "at_")
+    part = F.when(F.col("plain_"), F.substring(F.col(text).cast("binary"), F.col("at_") + 1, F.col("size_"))).otherwise(F.substring(text, F.col("at_") + 1, F.col("size_")).cast("binary"))
+    key = F.xxhash64("q_.i", "q_.t", m, part)
+    return rows.withColumn("k", F.struct(key.alias("key"), F.col("at_").alias("at"), F.col("size_").alias("size"), F.col("q_.t").alias("t"), F.col("q_.l").alias("longer"))).drop("n_", "plain_", "q_", "size_", "at_")
 
 
 def _without(text: Column, at: Column, size: Column, edits: int) -> Column:
@@ -193,11 +201,32 @@ def _near(pairs: DataFrame, edits: int) -> DataFrame:
     return p.where(edit_distance(F.col("a"), F.col("b"), edits) <= F.col("t")).select("h", "g")
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ones`` and ``twos``: for 64 classes each of the rest's characters and of its pairs of neighbours, whether
+    their numbers are odd."""
+
+    def odd(u: Column, size: int) -> Column:
+        def flip(bits: Column, at: Column) -> Column:
+            return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.substring(u, 4 * at + 1, F.lit(4 * size))), F.lit(64)).cast("int")))
+
+        places = F.shiftright(F.octet_length(u), 2) - size
+        return F.when(places >= 0, F.aggregate(F.sequence(F.lit(0), F.greatest(places, F.lit(0))), F.lit(0).cast("long"), flip)).otherwise(F.lit(0).cast("long"))
+
+    both = _bound(F.encode("rest", "UTF-32"), lambda u: F.struct(odd(u, 1).alias("ones"), odd(u, 2).alias("twos")))
+    return rows.withColumn("signs_", both).select(*rows.columns, "signs_.ones", "signs_.twos")
+
+
 def _pairs(searchers: DataFrame, others: DataFrame) -> DataFrame:
     """Each searcher with the earlier lines of its key, the shorter rest as ``r``. One of a pair has the key as the shorter text:
-    two lines that both have it as longer ones share another key, of their own lengths, if they are near."""
-    other = others.select("key", F.col("first").alias("earlier"), F.col("rest").alias("other"), F.col("longer").alias("longer2"))
+    two lines that both have it as longer ones share another key, of their own lengths, if they are near.
+
+    Signed rows are told apart by their signatures first: of the numbers of characters an edit changes two, and one if it changes
+    the length; of the numbers of neighbours four, and three."""
+    signs = [c for c in ("ones", "twos") if c in searchers.columns]
+    other = others.select("key", F.col("first").alias("earlier"), F.col("rest").alias("other"), F.col("longer").alias("longer2"), *(F.col(c).alias(f"{c}2") for c in signs))
     both = searchers.join(other, "key").where("earlier < first AND (longer = 0 OR longer2 = 0)")
+    for c, most in zip(signs, (2, 4), strict=False):
+        both = both.where(f"bit_count({c} ^ {c}2) <= {most} * t - longer - longer2")
     short = F.char_length("rest") <= F.char_length("other")
     return both.select("h", "g", "t", F.when(short, F.col("rest")).otherwise(F.col("other")).alias("r"), F.when(short, F.col("other")).otherwise(F.col("rest")).alias("s"))
 
@@ -220,7 +249,7 @@ def _near_earlier(lines: DataFrame, firsts: DataFrame, edits: int, chars_per_edi
     held = cut.select("h", "g", "line", "k.*").join(hinted, "key")
     held = held.groupBy("key", "h", "g", "at", "longer").agg(F.first(_without(F.col("line"), F.col("at"), F.col("size"), edits)).alias("rest"), F.first("t").alias("t"))
     members = materialise(held.join(firsts, ["h", "g"]).withColumn("open", F.lit(True)), "segment-members")
-    most = PIVOTS * members.count()  # pairs that cost no more than one comparison of the first level's rows with pivots
+    most, before = SIGNED_PAIRS * members.count(), None
     decided = None
     for level in range(levels):
         sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("least"))
@@ -237,9 +266,11 @@ def _near_earlier(lines: DataFrame, firsts: DataFrame, edits: int, chars_per_edi
         seen, _ = small(decided.withColumn("seen", F.lit(True)), BROADCAST_ROWS)
         hot = hot.join(seen, ["h", "g"], "left").withColumn("open", F.col("open") & F.col("seen").isNull() & (F.col("first") > F.col("least"))).drop("seen", "least")
         open_keys = materialise(_narrow(hot.where("open").groupBy("key").agg(F.count("*").alias("n"), F.first("all").alias("all"))), "open-segments")
-        last = level + 1 == levels or (open_keys.agg(F.sum(F.col("n") * F.col("all"))).first()[0] or 0) <= most
+        cost = open_keys.agg(F.sum(F.col("n") * F.col("all"))).first()[0] or 0
+        last = level + 1 == levels or cost <= most or (before is not None and cost > LESS * before)
+        before = cost
         one_by_one = open_keys if last else open_keys.where(F.col("n") <= bucket)
-        here = hot.join(small(one_by_one.select("key"), BROADCAST_ROWS)[0], "key")
+        here = materialise(_signed(hot.join(small(one_by_one.select("key"), BROADCAST_ROWS)[0], "key")), "signed-lines")
         decided = decided.unionByName(_near(_pairs(here.where("open"), here), edits))
         more, _ = small(open_keys.where(F.col("n") > bucket).select("key"), BROADCAST_ROWS)
         if last or not more.take(1):

@@ -378,6 +378,39 @@ def test_hot_segments(spark):
     assert Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(docs))) == brute_lines(texts)
 
 
+def test_two_edits_by_default(spark):
+    """Lines that differ from one text at places of their own, in four characters or, at the end, in two."""
+    rng = random.Random(8)
+    base = " ".join(words(rng, 12))
+    at = lambda: rng.randrange(len(base) + 1)
+    grown = [base[: (i := at())] + "k" + "".join(rng.choice("abcdefgh\u00e9") for _ in range(3)) + base[i:] for _ in range(70)]
+    two = [x[: (i := rng.randrange(len(x)))] + "q" + x[i + 1 :][:-1] for x in grown[:12]] + ["z" + base + "z"]
+    texts = list(enumerate([base, *grown, *two]))
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    found = Counter((r[0], r[3]) for r in got(line_dedup.dedup_lines(docs)))
+    assert found == brute_lines(texts, 2, 20) and sum(t == "" for _, t in found) >= 10
+
+
+def test_signatures_keep_near_pairs(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        a = b = "".join(rng.choice("ab \u00e9\U0001f600") for _ in range(rng.randrange(12)))
+        for _ in range(2):
+            i = rng.randrange(len(b) + 1)
+            b = rng.choice([b, b[:i] + "c" + b[i:], b[:i] + b[i + 1 :], b[:i] + "a" + b[i + 1 :]])
+        pairs.append((len(pairs), *sorted((a, b), key=len)))
+    pairs = [(*p, len(p[2]) - len(p[1])) for p in pairs]
+    row = "key long, h long, g long, rest string, longer int, t int, first int"
+    one = spark.createDataFrame([(k, 0, 0, s, d, 2, 1) for k, _, s, d in pairs], row)
+    other = spark.createDataFrame([(k, 0, 0, r, 0, 2, 0) for k, r, _, _ in pairs], row)
+    assert line_dedup._pairs(line_dedup._signed(one), line_dedup._signed(other)).count() == len(pairs)
+    far = spark.createDataFrame([(0, k, k, "abcdefgh" + x * 4 + "ijkl", 0, 2, k) for k, x in enumerate("mnopqrst")], row)
+    assert line_dedup._pairs(far, far).count() == 28
+    far = far.withColumn("rest", F.concat("rest", F.substring("rest", 9, 1), F.lit("uv"), F.col("h").cast("string"), F.chr(F.col("h") + 65), F.chr(F.col("h") + 75)))
+    assert line_dedup._pairs(line_dedup._signed(far), line_dedup._signed(far)).count() < 14
+
+
 def test_parts_of_pairs(spark):
     """Two lines that both have a key as the longer one aren't paired, and a part stays when a key is extended."""
     lines = spark.createDataFrame([(k, k, "abcdefghij" * 3 + "x" * k) for k in range(2)], "h long, g long, line string")
