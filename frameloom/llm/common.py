@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..sources.tables import shared_dir, written as materialise
+from ..sources.tables import shared_dir, written
 
 
 __all__ = ["fresh", "materialise", "release", "row_key", "shared_dir", "small", "table"]
@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``written``. Where the driver's heap has grown beyond half of its limit, its garbage is collected then: plans, broadcasts
+    and shuffles of earlier steps, which many small steps leave behind, and the heap shrinks."""
+    found = written(df, name)
+    jvm = df.sparkSession.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        jvm.java.lang.System.gc()
+    return found
+
+
 def release(spark: SparkSession) -> None:
     """Delete all tables that ``materialise`` wrote for this application; results that read them must have been taken before."""
     context = spark.sparkContext
