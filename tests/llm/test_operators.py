@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 from itertools import combinations, permutations, product
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -18,7 +19,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from frameloom.llm import decontaminate, html_extract, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filters
+from frameloom.llm import common, decontaminate, html_extract, license_scan, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filters
 from frameloom.llm.components import connected_components
 from frameloom.llm.queries import tokenizer_path
 
@@ -411,6 +412,18 @@ def test_signatures_keep_near_pairs(spark):
     assert line_dedup._pairs(line_dedup._signed(far), line_dedup._signed(far)).count() < 14
 
 
+@pytest.mark.parametrize("used, times", [(374, 0), (376, 1)])
+def test_driver_collects_garbage(monkeypatch, used, times):
+    """Beyond half of the driver's heap, and after the table is written."""
+    calls = []
+    heap = SimpleNamespace(totalMemory=lambda: used, maxMemory=lambda: 750)
+    lang = SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap), System=SimpleNamespace(gc=lambda: calls.append("gc")))
+    context = SimpleNamespace(_jvm=SimpleNamespace(java=SimpleNamespace(lang=lang)))
+    monkeypatch.setattr(common, "written", lambda df, name: calls.append(name) or df)
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context))
+    assert common.materialise(df, "x") is df and calls == ["x"] + ["gc"] * times
+
+
 def test_parts_of_pairs(spark):
     """Two lines that both have a key as the longer one aren't paired, and a part stays when a key is extended."""
     lines = spark.createDataFrame([(k, k, "abcdefghij" * 3 + "x" * k) for k in range(2)], "h long, g long, line string")
